@@ -37,7 +37,7 @@ DISCOUNT = 1.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, log_ratio double"
 FEATURES = 5
 #: A word's ratio beyond this says no more: the fit is about texts near the boundary.
-CLIP = 10.0
+CLIP = 20.0
 
 
 @dataclass
