@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import ship
+
 #: Runs of letters; numeric characters that Python counts as word characters are removed later.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters handled at once of one text, so that a very long text needs bounded memory.
@@ -21,7 +23,7 @@ CACHE_ENTRIES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

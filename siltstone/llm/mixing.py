@@ -60,7 +60,7 @@ STARTS = (1.0, 0.5, 0.25)
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
-    """docs: doc_id, source, size. One row for each, with taken (words) and its first training position in [0, 1]."""
+    """docs: doc_id, source, size. One row for each, with taken (words), its first training position in [0, 1] and those of all passes that take it."""
     # a few numbers a row, read three times below: the whole texts are read once
     own = docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
     own = materialize(own.withColumn("_h", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")))
@@ -76,13 +76,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFram
     own = own.withColumn("_in", F.sum("size").over(inner) - F.col("size")).join(ahead, ["_k", "_b"]).withColumn("_from", F.col("_in") + F.col("_ahead"))
     whole = F.floor("target")
     # each pass over the stream shifts the stretch by the source's size
-    passes = (F.greatest(F.lit(0), F.least(F.col("_from") + F.col("size") + e * F.col("source_size"), whole) - (F.col("_from") + e * F.col("source_size"))) for e in range(most))
-    taken = reduce(add, passes).cast("long")
+    begin = [F.col("_from") + e * F.col("source_size") for e in range(most)]
+    words = [F.greatest(F.lit(0), F.least(b + F.col("size"), whole) - b) for b in begin]
+    taken = reduce(add, words).cast("long")
     start = F.element_at(F.array(*[F.lit(x) for x in STARTS]), (F.pmod(F.col("_kind"), F.lit(len(STARTS))) + 1).cast("int"))
-    # D(t) / target = start * t + (1 - start) * t^2, inverted at the middle of the first stretch
-    share = F.least(F.lit(1.0), (F.col("_from") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1e-9)))
-    t = F.when(start == 1, share).otherwise((-start + F.sqrt(start * start + 4 * (1 - start) * share)) / (2 * F.greatest(1 - start, F.lit(1e-9))))
-    return own.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), t.alias("position"))
+    # D(t) / target = start * t + (1 - start) * t^2, inverted at the middle of each stretch
+    share = [F.least(F.lit(1.0), (b + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1e-9))) for b in begin]
+    t = [F.when(start == 1, x).otherwise((-start + F.sqrt(start * start + 4 * (1 - start) * x)) / (2 * F.greatest(1 - start, F.lit(1e-9)))) for x in share]
+    passes = F.filter(F.array(*[F.when(w > 0, x) for w, x in zip(words, t, strict=True)]), lambda x: x.isNotNull())
+    return own.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), t[0].alias("position"), passes.alias("passes"))
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mix itself: each document once for each pass that takes words of it, whole, range-sorted by training position; docs' columns."""
+    sizes = mix(sized(docs).select("doc_id", "source", "size"), weights, most).where("taken > 0").groupBy("doc_id").agg(F.first("passes").alias("passes"))
+    placed = docs.join(sizes, "doc_id").withColumn("_at", F.explode("passes"))
+    return placed.orderBy("_at", "doc_id").select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ toxic are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -65,6 +66,13 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
+    def score(self, text: str | None) -> float:
+        m = self.model
+        if m.chars is None:
+            return m.base
+        z = ((self.features(text) - m.scale[0]) / m.scale[1]) @ m.weights[:-1] + m.weights[-1]
+        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+
     def features(self, text: str | None, own: int | None = None) -> np.ndarray:
         """The largest word ratio, means of the 3 and 8 largest, the ratio by word of the whole text, its log length."""
         seen: Counter = Counter()
@@ -167,6 +175,19 @@ def score(docs: DataFrame, model: Model, parts: int = 5, held: int = 0) -> DataF
     return docs.select("doc_id", "text", (fold(F.col("doc_id"), parts) == held).alias("held_out")).mapInPandas(run, SCHEMA)
 
 
+def scorer(model: Model, spark: SparkSession):
+    """A column function of texts that gives their scores."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        s = Scorer(sent.value)
+        for texts in batches:
+            yield pd.Series([s.score(t) for t in texts], dtype=float)
+
+    return toxicity
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where("toxic in (0, 1) and doc_id is not null").where(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
 
