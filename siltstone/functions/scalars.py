@@ -8,6 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
@@ -23,7 +24,7 @@ def from_ordered_bytes(b: bytes) -> float:
     return struct.unpack(">d", struct.pack(">Q", bits ^ (1 << 63 if bits >> 63 else 0xFFFFFFFFFFFFFFFF)))[0]
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def ordered_bytes_of(x: pd.Series) -> pd.Series:
     return x.map(ordered_bytes)
 
@@ -39,7 +40,7 @@ def token(text: Column, sep: str, i: int) -> Column:
 
 def has_member(list_text: Column, *members: str) -> Column:
     """Whether a comma list holds one of the members."""
-    return F.arrays_overlap(F.transform(F.split(list_text, ","), F.trim), F.array(*[F.lit(m) for m in members]))
+    return F.arrays_overlap(F.transform(F.split(list_text, ","), lambda x: F.trim(x)), F.array(*[F.lit(m) for m in members]))
 
 
 def epoch_millis(ts: Column) -> Column:
