@@ -17,12 +17,16 @@ from siltstone.session import ship
 #: Runs of letters; numeric characters that Python counts as word characters are removed later.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters handled at once of one text, so that a very long text needs bounded memory.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
+#: Bytes of an Arrow batch: several Python workers share an executor's memory beside its heap.
+BATCH_BYTES = str(16 << 20)
 #: Entries of a per-worker cache before it is emptied.
 CACHE_ENTRIES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from siltstone.llm.common import mix64, pieces
+from siltstone.llm.common import PIECE_CHARS, mix64, pieces
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 with np.errstate(over="ignore"):
@@ -14,7 +14,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -75,7 +75,7 @@ def _at_words(text: str):
     rest = ""
     for piece in pieces(text):
         piece = rest + piece
-        if piece[-1:] in " \t\n\v\f\r" or len(piece) < 1 << 20:
+        if piece[-1:] in " \t\n\v\f\r" or len(piece) < PIECE_CHARS:
             rest = ""
             yield piece.encode("utf-8", "surrogatepass")
         else:

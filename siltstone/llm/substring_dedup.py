@@ -235,8 +235,8 @@ def align(x: np.ndarray, x0: int, y: np.ndarray, y0: int, ps: np.ndarray, qs: np
     return s + x0, e + x0, t + y0, f + y0, good / max(e - s, f - t)
 
 
-def _window(chain: DataFrame, texts: DataFrame, key: str, anchors: str, name: str) -> DataFrame:
-    """Adds the hashes of a chain's words and of REACH words on both sides, and where they start."""
+def _window(chain: DataFrame, texts: DataFrame, key: str, anchors: str, name: str, then=None, schema: str | None = None) -> DataFrame:
+    """Adds the hashes of a chain's words and of REACH words on both sides, and where they start; `then` turns such batches into what is returned."""
 
     def run(batches):
         last, words = None, None
@@ -250,11 +250,21 @@ def _window(chain: DataFrame, texts: DataFrame, key: str, anchors: str, name: st
                 starts.append(lo)
             b = b.drop(columns=["text"])
             b[name], b[name + "0"] = out, starts
-            yield b
+            yield then(b) if then else b
 
     joined = chain.join(texts.withColumnRenamed("doc_id", key), key)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chain.schema if f.name != key)
-    return joined.select(key, *[c for c in chain.columns if c != key], "text").mapInPandas(run, f"{key} long, {fields}, {name} array<bigint>, {name}0 int")
+    return joined.select(key, *[c for c in chain.columns if c != key], "text").mapInPandas(run, schema or f"{key} long, {fields}, {name} array<bigint>, {name}0 int")
+
+
+def aligned(b: pd.DataFrame, identity: float) -> pd.DataFrame:
+    """The chains of a batch that are like enough, in words of both documents."""
+    out = []
+    for doc, odoc, ps, qs, x, x0, y, y0 in zip(b["doc"], b["odoc"], b["ps"], b["qs"], b["x"], b["x0"], b["y"], b["y0"], strict=True):
+        s, e, _, _, same = align(np.asarray(x), x0, np.asarray(y), y0, np.asarray(ps), np.asarray(qs))
+        if e - s >= MIN_CHAIN and same >= identity:
+            out.append((doc, s, e, odoc, same))
+    return pd.DataFrame(out, columns=["doc_id", "s", "e", "odoc", "same"])
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = MIN_IDENTITY) -> DataFrame:
@@ -263,18 +273,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = MIN_
     wanted = chain.select(F.col("doc").alias("doc_id")).union(chain.select("odoc")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.length("text")).alias("text"))
     texts = materialize(texts)
-    both = _window(_window(chain, texts, "doc", "ps", "x"), texts, "odoc", "qs", "y")
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for doc, odoc, ps, qs, x, x0, y, y0 in zip(b["doc"], b["odoc"], b["ps"], b["qs"], b["x"], b["x0"], b["y"], b["y0"], strict=True):
-                s, e, t, f, same = align(np.asarray(x), x0, np.asarray(y), y0, np.asarray(ps), np.asarray(qs))
-                if e - s >= MIN_CHAIN and same >= identity:
-                    out.append((doc, s, e, odoc, same))
-            yield pd.DataFrame(out, columns=["doc_id", "s", "e", "odoc", "same"])
-
-    aligned = both.mapInPandas(run, "doc_id long, s int, e int, odoc long, same double")
+    near = _window(_window(chain, texts, "doc", "ps", "x"), texts, "odoc", "qs", "y", lambda b: aligned(b, identity), "doc_id long, s int, e int, odoc long, same double")
 
     def unite(batches):
         held = None
@@ -298,7 +297,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = MIN_
         rows = [(d, s, e, e - s, sum(n * x for n, x in w) / sum(n for n, _ in w), sorted(o)) for d, s, e, _, w, o in out if e - s >= min_words]
         return pd.DataFrame(rows, columns=["doc_id", "start_word", "end_word", "n_words", "identity", "source_doc_ids"])
 
-    ordered = aligned.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "s", "e", "odoc")
+    ordered = near.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "s", "e", "odoc")
     return ordered.mapInPandas(unite, "doc_id long, start_word int, end_word int, n_words int, identity double, source_doc_ids array<long>")
 
 
