@@ -72,7 +72,7 @@ class CharModel:
             pos = np.flatnonzero((at >= 1) & (at >= n - 1))
             grams, first, inverse = np.unique(h[n][pos], return_index=True, return_inverse=True)
             first = pos[first]
-            raw = np.bincount(inverse * L + cls[pos], weights=weight[pos], minlength=len(grams) * L).reshape(-1, L)
+            raw = np.bincount(inverse * L + cls[pos], weights=weight[pos], minlength=len(grams) * L).reshape(len(grams), L)
             before = np.maximum(first - 1, 0)
             found.append({"grams": grams, "raw": raw, "context": h[n - 1][before], "suffix": h[n - 1][first], "anchored": at[first] == n - 1})
         below = None
@@ -95,7 +95,7 @@ class CharModel:
             taken = np.zeros((len(contexts), L))
             np.add.at(taken, inverse, cut)
             bow = np.where(total > 0, taken / np.maximum(total, 1e-12), 1.0)
-            lower = np.full((len(f["grams"]), L), self.base) if n == 1 else below[_find(found[n - 2]["grams"], f["suffix"])]
+            lower = np.full((len(f["grams"]), L), self.base) if n == 1 or not len(f["grams"]) else below[_find(found[n - 2]["grams"], f["suffix"])]
             prob = (count - cut) / np.maximum(total[inverse], 1e-12) + bow[inverse] * lower
             self.grams.append(f["grams"])
             self.prob.append(np.log(np.maximum(prob, 1e-30)).astype(np.float32))

@@ -58,8 +58,11 @@ class Model:
         if own is not None:
             n[:, own] = np.maximum(n[:, own] - 1, 0)
         log_chars, _ = self.chars.score(words)
-        p = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * self.types * np.exp(log_chars)) / self.totals
-        return np.log(p[:, 1]) - np.log(p[:, 0])
+        with np.errstate(divide="ignore"):
+            own_mass = np.log(np.maximum(n - DISCOUNT, 0))
+        # in logarithms, since a very long word's character probability underflows
+        p = np.logaddexp(own_mass, np.log(DISCOUNT * self.types) + log_chars) - np.log(self.totals)
+        return p[:, 1] - p[:, 0]
 
 
 class Scorer:
