@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def budget(cardinalities: list[int], rho: float, weights: list[float] | None = None) -> list[int]:
@@ -55,12 +56,14 @@ def histogram(df: DataFrame, attr: str, *by: str) -> DataFrame:
     return df.where(F.col(attr).isNotNull()).groupBy(*by, F.col(attr).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bounds_table(df: DataFrame, attr: str, bins: int, by: list[str] | None = None) -> DataFrame:
+def bounds_table(df: DataFrame, attr: str, bins: int, by: list[str] | None = None, distinct: int = 20_000) -> DataFrame:
     """(by, bin, lo, hi) of equal-mass bins, over the whole table or within groups such as files.
 
-    The sweep is sequential over distinct values, so it runs on histograms, one group at a time. For a single group
-    with more distinct values than fit a task, quantize the values first (`quantized`).
+    The sweep is sequential over distinct values, so it runs on histograms, one group at a time. A whole table's
+    histogram of more than `distinct` values is made of that many approximate quantiles, which are occurring values.
     """
+    if not by and df.agg(F.approx_count_distinct(attr)).first()[0] > distinct:
+        df = quantized(df, attr, distinct)
     by = by or []
     kinds = dict(df.dtypes)
     h = histogram(df.withColumn(attr, F.col(attr).cast("double")), attr, *by)
@@ -80,19 +83,35 @@ def bounds_table(df: DataFrame, attr: str, bins: int, by: list[str] | None = Non
     return out if by else out.drop("_all")
 
 
-def quantized(df: DataFrame, attr: str, distinct: int = 100_000) -> DataFrame:
-    """The column with its values lowered to about `distinct` approximate quantiles, which are occurring values."""
-    cuts = df.approxQuantile(attr, [i / distinct for i in range(distinct + 1)], 1 / (4 * distinct))
-    cuts = sorted(set(cuts))
-    return df.withColumn(attr, F.element_at(F.array(*[F.lit(c) for c in cuts]), F.greatest(F.lit(1), bin_of(F.col(attr), cuts) + 1)))
+def quantized(df: DataFrame, attr: str, distinct: int) -> DataFrame:
+    """The column with its values lowered to about `distinct` approximate quantiles."""
+    cuts = np.unique(df.approxQuantile(attr, [i / distinct for i in range(distinct + 1)], 1 / (2 * distinct)))
+
+    @F.pandas_udf(DoubleType())
+    def lowered(v: pd.Series) -> pd.Series:
+        x = v.to_numpy(float)
+        return pd.Series(np.where(np.isnan(x), np.nan, cuts[np.maximum(np.searchsorted(cuts, x, "right") - 1, 0)]))
+
+    return df.withColumn(attr, F.when(F.col(attr).isNotNull(), lowered(F.col(attr).cast("double"))))
+
+
+#: Up to so many bounds a lookup stays in generated code.
+FEW = 64
 
 
 def bin_of(value: Column, bounds: list[float]) -> Column:
     """The bin of a value: how many bounds are not above it, less one, kept within the bins; NULL has none."""
     n = len(bounds) - 1
-    # a binary search would leave generated code; the bounds are few and constant
-    at = sum((F.when(value >= F.lit(float(b)), 1).otherwise(0) for b in bounds[1:-1]), F.lit(0))
-    return F.when(value.isNotNull(), F.least(F.lit(n - 1), at))
+    if n <= FEW:
+        at = sum((F.when(value >= F.lit(float(b)), 1).otherwise(0) for b in bounds[1:-1]), F.lit(0))
+        return F.when(value.isNotNull(), F.least(F.lit(n - 1), at))
+    inner = np.asarray(bounds[1:-1], float)
+
+    @F.pandas_udf(IntegerType())
+    def lookup(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(inner, v.to_numpy(float), "right").astype(np.int32))
+
+    return F.when(value.isNotNull(), lookup(value.cast("double")))
 
 
 def uniform_bounds(lo: float, hi: float, rho: float, cardinality: int | None = None) -> list[float]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import indexes as ix
@@ -158,14 +158,10 @@ def by_lazy_bitmaps(rel: Relation, query: Query, bounds: dict[str, list[float]])
     """One global bitmap index over row ids, and a table from row id to key: candidates, keys, distinct, check."""
     query = normalize(query)
     placed = ix.with_place(rel.versions)
-    # row ids: a file's rows start where the rows of files before it end
-    files = placed.groupBy("file").agg((F.max("row") + 1).alias("n")).orderBy("file").collect()
-    starts, at = {}, 0
-    for name, n in files:
-        starts[name] = at
-        at += n
-    start = F.create_map(*[x for k, v in starts.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    ids = placed.withColumn("row", start[F.col("file")] + F.col("row")).withColumn("file", F.lit("all"))
+    # row ids: a file's rows start where the rows of files before it end; one row for each file
+    files = placed.groupBy("file").agg((F.max("row") + 1).alias("n"))
+    starts = files.withColumn("start", F.sum("n").over(Window.orderBy("file")) - F.col("n")).drop("n")
+    ids = placed.join(starts, "file").withColumn("row", F.col("start") + F.col("row")).withColumn("file", F.lit("all"))
     found = candidate_bitmaps(ix.bitmaps(ids, bounds), query, bounds)
     if found is None:
         return full_scan(rel, query)

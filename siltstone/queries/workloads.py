@@ -14,14 +14,14 @@ from siltstone.operators.versions import latest
 from siltstone.plans import workload
 from siltstone.plans.cnf import Condition, Query, between, equals, one_of, parse_filters
 from siltstone.queries.base import ROLES, dsum, dsum_sql, items, q, relation, sql, t
+from siltstone.session import shared_dir
 from siltstone.sources import files, trace
 from siltstone.streaming import ingest
 
 
 def scratch(spark) -> str:
-    """A new folder that all executors see: under the checkpoint folder, or beside the warehouse in local runs."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
+    """A new folder that all executors see."""
+    return f"{shared_dir(spark).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 
 @q("a1_parquet_scan", f"SELECT count(*) AS n, {dsum_sql('l_quantity')} AS quantity FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem)")

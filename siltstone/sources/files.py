@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
+from siltstone.session import materialize
+
 KINDS = {"categorical": StringType(), "string": StringType(), "continuous": DoubleType(), "double": DoubleType(), "int": LongType(), "datetime": TimestampNTZType()}
 
 
@@ -57,17 +59,14 @@ def rows_between(df: DataFrame, order: list[str], lo: int, hi: int) -> DataFrame
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
-    """Dense 0-based numbers in an order. Range partitions are numbered inside; their offsets are one number each."""
-    spark = df.sparkSession
+    """Dense 0-based numbers in an order, never by one task: range partitions are written once with numbers of their
+    own (a second run might cut the ranges elsewhere), and each gets the rows before it as an offset."""
     parts = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    parts = parts.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = {r[0]: r[1] for r in parts.groupBy("_p").count().collect()}
-    at, rows = 0, []
-    for p in sorted(sizes):
-        rows.append((p, at))
-        at += sizes[p]
-    start = F.broadcast(spark.createDataFrame(rows, "_p long, _at long"))
-    return parts.join(start, "_p", "left").withColumn(name, F.coalesce("_at", F.lit(0)) + F.col("_i")).drop("_id", "_p", "_i", "_at")
+    parts = materialize(parts.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"))
+    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each partition
+    start = F.broadcast(sizes.withColumn("_at", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n"))
+    return parts.join(start, "_p").withColumn(name, F.col("_at") + F.col("_i")).drop("_p", "_i", "_at")
 
 
 def consume(df: DataFrame, order: list[str], at: int, n: int) -> DataFrame:
