@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import ship
+from siltstone.session import materialize, ship
+
+__all__ = ["materialize", "ship"]
 
 #: Runs of letters; numeric characters that Python counts as word characters are removed later.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -30,37 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it again. Lost executors cost nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session is gone; the folder's owner cleans it
-        return
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text, modulo parts."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)
