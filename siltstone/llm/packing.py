@@ -17,7 +17,6 @@ dealt over many tasks.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 
@@ -31,10 +30,17 @@ from siltstone.llm.common import CACHE_ENTRIES, materialize, table
 LIMIT = 1024
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
+#: How the byte-level vocabulary writes a space.
+SPACE = "\u0120"
 #: Rests in one bucket of a length, about.
 BUCKET_ROWS = 4096
-#: White space other than single spaces and line feeds between words: such a text is encoded whole.
-ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n]{2}|^[ \n]|[ \n]\Z")
+#: White space other than single spaces and line feeds between words, and the mark of keys: such a text is encoded whole.
+ODD = ["  ", " \n", "\n ", "\n\n", *"\x01\t\v\f\r\x1c\x1d\x1e\x1f"]
+ODD_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def plain(text: str) -> bool:
+    return not (text[:1] in " \n" or text[-1] in " \n" or any(x in text for x in ODD) or not text.isascii() and any(x in text for x in ODD_WIDE))
 
 
 class Encoder:
@@ -50,20 +56,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = list(self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == SPACE]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         # keys: "word" follows a space; "\x01word" follows nothing or a line feed
-        split = [None if "\x01" in t or ODD_SPACE.search(t) or any(s.content in t for s in self.special) else ("\x01" + t.replace("\n", " \n \x01")).split(" ") for t in texts]
+        split = [("\x01" + t.replace("\n", " \n \x01")).split(" ") if t and plain(t) and not any(s.content in t for s in self.special) else None for t in texts]
         if new := set().union(*(s for s in split if s)).difference(self.known):
             if len(self.known) + len(new) > CACHE_ENTRIES:
                 self.known = {}
                 new = set().union(*(s for s in split if s))
-            new = list(new)
-            got = self.tokenizer.encode_batch([p if p == "\n" else p[1:] if p[:1] == "\x01" else " " + p for p in new], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, got, strict=True))
+            lone = [p for p in new if p[0] in "\x01\n"]
+            got = self.tokenizer.encode_batch([p.lstrip("\x01") for p in lone], add_special_tokens=False)
+            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(lone, got, strict=True))
+            # words after a space are encoded in one run: the first token of each, and no other, holds its space
+            words = [p for p in new if p[0] not in "\x01\n"]
+            if words:
+                ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, "<u4")
+                at = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+                raw = ids.tobytes()
+                self.known.update(zip(words, map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)])), strict=True))
         return [self.whole(t) if s is None else b"".join(map(self.known.__getitem__, s)) for s, t in zip(split, texts, strict=True)]
 
 
