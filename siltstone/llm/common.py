@@ -20,7 +20,7 @@ PIECE_CHARS = 1 << 18
 #: Bytes of an Arrow batch: several Python workers share an executor's memory beside its heap.
 BATCH_BYTES = str(16 << 20)
 #: Entries of a per-worker cache before it is emptied.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

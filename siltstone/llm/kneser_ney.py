@@ -29,19 +29,17 @@ def _encode(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, word, np.arange(len(codes)) - np.repeat(starts, lengths)
 
 
-def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
-    """h[n][i]: hash of the n characters that end at i, for n from 0 to order (n = 0 is a constant)."""
+def _hashes(codes: np.ndarray, order: int):
+    """Yields, for n from 1 to order, h with h[i] the hash of the n characters that end at i."""
     value = mix64(codes.astype(np.uint64) + np.uint64(77))
-    out, acc, power = [np.zeros(len(codes), np.uint64)], np.zeros(len(codes), np.uint64), np.uint64(1)
+    acc, power = np.zeros(len(codes), np.uint64), np.uint64(1)
     with np.errstate(over="ignore"):
         for n in range(order):
-            shifted = np.zeros(len(codes), np.uint64)
+            acc = acc.copy()
             if n < len(codes):
-                shifted[n:] = value[: len(codes) - n] if n else value
-            acc = acc + shifted * power
+                acc[n:] += value[: len(codes) - n] * power
             power = power * _BASE
-            out.append(acc)
-    return out
+            yield acc
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -64,17 +62,18 @@ class CharModel:
     def fit(self, words: list[str], cls: np.ndarray, weight: np.ndarray) -> CharModel:
         L, K, D = self.classes, self.order, self.discount
         codes, word, at = _encode(words)
-        h = _hashes(codes, K)
         cls, weight = np.asarray(cls)[word] if len(word) else np.zeros(0, int), np.asarray(weight, float)[word] if len(word) else np.zeros(0)
         self.base = 1.0 / (len(np.unique(codes)) + 1)
         found: list[dict] = []
-        for n in range(1, K + 1):
+        lower = np.zeros(len(codes), np.uint64)
+        for n, h in enumerate(_hashes(codes, K), 1):
             pos = np.flatnonzero((at >= 1) & (at >= n - 1))
-            grams, first, inverse = np.unique(h[n][pos], return_index=True, return_inverse=True)
+            grams, first, inverse = np.unique(h[pos], return_index=True, return_inverse=True)
             first = pos[first]
             raw = np.bincount(inverse * L + cls[pos], weights=weight[pos], minlength=len(grams) * L).reshape(len(grams), L)
             before = np.maximum(first - 1, 0)
-            found.append({"grams": grams, "raw": raw, "context": h[n - 1][before], "suffix": h[n - 1][first], "anchored": at[first] == n - 1})
+            found.append({"grams": grams, "raw": raw, "context": lower[before], "suffix": lower[first], "anchored": at[first] == n - 1})
+            lower = h
         below = None
         for n, f in enumerate(found, 1):
             count = f["raw"]
@@ -95,8 +94,8 @@ class CharModel:
             taken = np.zeros((len(contexts), L))
             np.add.at(taken, inverse, cut)
             bow = np.where(total > 0, taken / np.maximum(total, 1e-12), 1.0)
-            lower = np.full((len(f["grams"]), L), self.base) if n == 1 or not len(f["grams"]) else below[_find(found[n - 2]["grams"], f["suffix"])]
-            prob = (count - cut) / np.maximum(total[inverse], 1e-12) + bow[inverse] * lower
+            under = np.full((len(f["grams"]), L), self.base) if n == 1 or not len(f["grams"]) else below[_find(found[n - 2]["grams"], f["suffix"])]
+            prob = (count - cut) / np.maximum(total[inverse], 1e-12) + bow[inverse] * under
             self.grams.append(f["grams"])
             self.prob.append(np.log(np.maximum(prob, 1e-30)).astype(np.float32))
             self.contexts.append(contexts)
@@ -109,7 +108,7 @@ class CharModel:
         if not words:
             return np.zeros((0, self.classes)), np.zeros(0)
         codes, word, at = _encode(words)
-        h = _hashes(codes, self.order)
+        h = [np.zeros(len(codes), np.uint64), *_hashes(codes, self.order)]
         out = np.zeros((len(codes), self.classes), np.float32)
         todo = np.flatnonzero(at >= 1)
         high = np.minimum(at[todo] + 1, self.order)

@@ -24,15 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import CACHE_ENTRIES, fold, letter_words, mix64, pieces, sample_per_class, table
+from siltstone.llm.common import CACHE_ENTRIES, fold, letter_words, materialize, pieces, sample_per_class, table
 from siltstone.llm.kneser_ney import CharModel
 
 #: Labelled training rows of each class at most, in expectation (a documented bound of the classifier's sample).
 TRAIN_ROWS = 16_000
 #: Training rows of each class that fit the logistic weights, in expectation.
 FIT_ROWS = 4_000
-#: Word counts below this share of their class's total in both classes are left to the character model.
-LEAST_SHARE = 1e-6
+#: A word's counts are kept if they make this share of either class's total, so there are at most 2 / LEAST_SHARE of
+#: them; rarer words are left to the character model.
+LEAST_SHARE = 2e-6
 #: Of each word's document count; a word of one document is left to the character model.
 DISCOUNT = 1.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, log_ratio double"
@@ -114,8 +115,10 @@ def train(labelled: DataFrame, base: float, fit_rows: int = FIT_ROWS) -> Model:
     sample = labelled.where("text is not null and toxic in (0, 1)")
     # one row for each text and label: copies do not count again
     once = sample.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m"), "toxic").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
+    once = materialize(once)  # bounded by the sample
     words = once.mapInPandas(words_of, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    words = materialize(words)
+    sizes = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model(base)
     totals = words.agg(F.sum("n0"), F.sum("n1")).first()
