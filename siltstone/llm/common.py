@@ -81,3 +81,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+class Known(dict):
+    """What a worker remembers of words, in two generations: when one is full it becomes the older one, and words that are met again move on."""
+
+    def __init__(self, fixed: dict | None = None, entries: int = CACHE_ENTRIES):
+        super().__init__(fixed or {})
+        self.fixed, self.entries, self.older = fixed or {}, entries, {}
+
+    def unknown(self, words: set) -> list:
+        """The words that neither generation knows; the others are at hand afterwards."""
+        new = words.difference(self)
+        if len(self) + len(new) > self.entries:
+            self.older = dict(self)
+            self.clear()
+            self.update(self.fixed)
+            new = words.difference(self)
+        if self.older:
+            again = new.intersection(self.older)
+            self.update((w, self.older[w]) for w in again)
+            new -= again
+        return list(new)

@@ -25,13 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import CACHE_ENTRIES, materialize, table
+from siltstone.llm.common import Known, materialize, table
 
 LIMIT = 1024
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: How the byte-level vocabulary writes a space.
 SPACE = "\u0120"
+#: Words whose ids a task remembers.
+WORDS = 700_000
 #: Rests in one bucket of a length, about.
 BUCKET_ROWS = 4096
 #: White space other than single spaces and line feeds between words, and the mark of keys: such a text is encoded whole.
@@ -55,7 +57,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = list(self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
+        self.known = Known(entries=WORDS)
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == SPACE]] = True
 
@@ -65,10 +67,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         # keys: "word" follows a space; "\x01word" follows nothing or a line feed
         split = [("\x01" + t.replace("\n", " \n \x01")).split(" ") if t and plain(t) and not any(s.content in t for s in self.special) else None for t in texts]
-        if new := set().union(*(s for s in split if s)).difference(self.known):
-            if len(self.known) + len(new) > CACHE_ENTRIES:
-                self.known = {}
-                new = set().union(*(s for s in split if s))
+        if new := self.known.unknown(set().union(*(s for s in split if s))):
             lone = [p for p in new if p[0] in "\x01\n"]
             got = self.tokenizer.encode_batch([p.lstrip("\x01") for p in lone], add_special_tokens=False)
             self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(lone, got, strict=True))
@@ -82,6 +81,10 @@ class Encoder:
         return [self.whole(t) if s is None else b"".join(map(self.known.__getitem__, s)) for s, t in zip(split, texts, strict=True)]
 
 
+#: A worker's encoders by tokenizer.
+_encoders: dict[str, Encoder] = {}
+
+
 def encode(docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens."""
     end = np.array([end_id], "<u4").tobytes()
@@ -92,7 +95,8 @@ def encode(docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER, end_
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(public_tokenizers.path(tokenizer))
+        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(public_tokenizers.path(tokenizer)))
+        encoder.known = Known(entries=WORDS)  # of this task alone: an idle worker holds none
         for b in batches:
             texts = list(b["text"])
             for at in range(0, len(texts), 500):
@@ -102,6 +106,7 @@ def encode(docs: DataFrame, limit: int = LIMIT, tokenizer: str = TOKENIZER, end_
                     n = len(ids) // 4
                     out.extend((doc_id, i, min(limit, n - i), zlib.crc32(ids[4 * i : 4 * (i + limit)]), n) for i in range(0, n, limit))
                 yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.known = Known(entries=WORDS)
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import CACHE_ENTRIES, table
+from siltstone.llm.common import Known, table
 
 LIMIT = 4096
 BATCH_CHARS = 4 << 20
+#: Parts whose counts a task remembers.
+WORDS = 500_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: A part of a text with one space in front: a word with the spaces before it, a line feed, or spaces that no word follows.
 PART = re.compile(r" *[^ \n]+|\n| +")
@@ -51,7 +53,7 @@ class Counter:
         size = lambda text: len(self.sp.encode(text, num_threads=1))
         self.lead = size("\n")
         self.fixed = {"": size("a ") - size("a"), "\n": size("a\n") - size("a"), "\x01": 0}
-        self.known = dict(self.fixed)
+        self.known = Known(self.fixed, WORDS)
 
     def _parts(self, text: str) -> list[str]:
         if not ("  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] == " "):
@@ -70,11 +72,8 @@ class Counter:
         out = np.zeros(len(texts), np.int64)
         # a text that holds the key's own mark is encoded whole
         split = [self._parts(t.replace(MARK, " ")) if t and "\x01" not in t else [] for t in texts]
-        if new := set().union(*split).difference(self.known):
-            if len(self.known) + len(new) > 2 * CACHE_ENTRIES:
-                self.known = dict(self.fixed)
-                new = set().union(*split).difference(self.known)
-            self._learn(list(new))
+        if new := self.known.unknown(set().union(*split)):
+            self._learn(new)
         for i, (parts, text) in enumerate(zip(split, texts, strict=True)):
             out[i] = sum(map(self.known.__getitem__, parts)) if parts else len(self.sp.encode(text, num_threads=1)) if text else 0
         return out
