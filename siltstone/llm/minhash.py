@@ -9,7 +9,7 @@ Jaccard estimated from equal registers, less the share that collides by chance,
 then 100 * intersection >= least * union is tested on full sets.
 
 Links that stars miss: where a bucket holds classes of several components, any two of them may still be linked. Such
-buckets are gathered into clusters, whose classes are compared in blocks of BLOCK x BLOCK on full sets, except for
+buckets are gathered by their pivots' components, and their classes are compared in blocks of BLOCK x BLOCK on full sets, except for
 blocks within one component; a block returns a spanning forest of the links it finds, not its pairs. So no link
 within a bucket is lost, and with 32 bands a pair at the threshold misses all buckets with probability 3e-7.
 
@@ -154,13 +154,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, least: int = 85) -> DataFrame:
     )
     links = materialize(links)
     found = materialize(components(links))
-    # buckets whose other members are not all of one component: what the stars leave open
+    # buckets whose members but the pivot are not all of one component: what the stars leave open; the pivot's
+    # component gathers them, since any two classes of a bucket share its pivot
     label = found.withColumnRenamed("node", "rep")
-    open_ = members.where("members > 2 and rep <> pivot").join(label, "rep", "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("label"))
-    mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_ = materialize(open_.join(mixed, "key").select("rep", "pivot", "label").distinct())
+    open_ = members.where("members > 2").join(label, "rep", "left").select("key", "rep", (F.col("rep") == F.col("pivot")).alias("first"), F.coalesce("component", "rep").alias("label"))
+    other = F.when(~F.col("first"), F.col("label"))
+    mixed = open_.groupBy("key").agg(F.min(other).alias("lo"), F.max(other).alias("hi"), F.max(F.when(F.col("first"), F.col("label"))).alias("cluster")).where("lo <> hi").select("key", "cluster")
+    open_ = materialize(open_.where("not first").join(mixed, "key").select("cluster", "rep", "label").distinct())
     more = in_blocks(open_, sets, least)
-    final = materialize(components(links.unionByName(more)))
+    final = found if more.isEmpty() else materialize(components(links.unionByName(more)))
     named = classes.select("set_key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
@@ -168,12 +170,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, least: int = 85) -> DataFrame:
 
 
 def in_blocks(open_: DataFrame, sets: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
-    """open_: rep, pivot (both of one bucket), label. Links between classes of different labels, as a forest of each pair of blocks."""
+    """open_: cluster, rep, label. Links between classes of a cluster with different labels, as a forest of each pair of blocks."""
     spark = open_.sparkSession
     if open_.isEmpty():
         return spark.createDataFrame([], "a long, b long")
-    cluster = components(open_.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    member = open_.groupBy("rep").agg(F.min("label").alias("label")).join(cluster, "rep")
+    member = open_
     # blocks follow the labels, so that most pairs of blocks within one component can be left out
     sizes = member.groupBy("cluster").count()
     at = F.row_number().over(Window.partitionBy("cluster", "_part").orderBy("label", "rep")) - 1
