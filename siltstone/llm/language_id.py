@@ -24,8 +24,8 @@ from siltstone.llm.kneser_ney import CharModel
 
 #: Training rows of each language at most, in expectation (a documented bound of the classifier's sample).
 TRAIN_ROWS = 2_000
-#: A word is counted if it makes this share of its language's sampled words, so a language has a million words at most.
-LEAST_SHARE = 1e-6
+#: A word is counted if it makes this share of its language's sampled words, so a language has 1 / LEAST_SHARE words at most.
+LEAST_SHARE = 1e-5
 #: One in so many sampled rows calibrates the score and is not counted.
 CALIBRATE = 8
 #: Scores below give accepted = false.
