@@ -206,8 +206,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id"
 # ---------------------------------------------------------------------------------------------------------------
 # nearest neighbours (operator 4)
 
-#: Share of a sample's true neighbours that the probes must reach, and codes reranked for each neighbour asked for.
-REACHED, RERANK = 0.99, 8
+#: Share of a sample's true neighbours that the probes must reach.
+REACHED = 0.99
 
 
 def probes_for(index: Index, sample: np.ndarray, k: int) -> int:
@@ -223,10 +223,23 @@ def probes_for(index: Index, sample: np.ndarray, k: int) -> int:
     return int(np.quantile(ranks, REACHED)) + 1 if len(ranks) else len(index.centroids)
 
 
+def candidates(index: Index, q: np.ndarray, qid: np.ndarray, home: int, codes: np.ndarray, err: np.ndarray, did: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the rows of a block that may be among its k nearest there, ties included: an exact distance is within `err` of its code's."""
+    est = np.sqrt(index.asymmetric(q, home, codes).astype(float))
+    # rounding of the tables
+    slack = 1e-5 * np.where(np.isfinite(est), est, 0).max(1) + 1e-6 * np.sqrt((q**2).sum(1))
+    other = qid[:, None] != did[None, :]
+    most = np.where(other, est + err, np.inf)
+    bound = np.partition(most, k - 1, axis=1)[:, k - 1] if k < len(did) else np.full(len(q), np.inf)
+    ok = other & (est <= (bound + 2 * slack)[:, None] + err)
+    return [np.flatnonzero(o) for o in ok]
+
+
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id") -> DataFrame:
     """The k nearest of each vector whose key is divisible by `every`, by Euclidean distance. query_id, rank, vec_id, score.
 
-    Queries seek as many lists as a sample says they need, take the RERANK * k best codes of each block, and rank by
+    Queries seek as many lists as a sample says they need, take every code of a block whose exact distance may be among
+    the k smallest there (the code's own error is known, so none is lost, copies and near copies neither), and rank by
     exact distances in double precision; ties go to the smaller key. Repeated keys are vectors of their own as
     candidates, but never their own query's. With fewer than k candidates all are returned; an empty table, or one
     without queries, gives an empty result.
@@ -251,7 +264,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
             x = stack(b["v"])
             d = ix.distances(x)
             home = d.argmin(1)
-            yield pd.DataFrame({key: b[key], "v": b["v"], "list": home, "code": [c.tobytes() for c in ix.encode(x, home)[0]]})
+            codes, left = ix.encode(x, home)
+            yield pd.DataFrame({key: b[key], "v": b["v"], "list": home, "code": [c.tobytes() for c in codes], "err": left})
 
     def ask(batches):
         ix = sent.value
@@ -260,7 +274,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
                 near = np.argsort(ix.distances(stack(b["v"])), axis=1, kind="stable")[:, :probes]
                 yield pd.DataFrame({key: b[key], "v": b["v"], "probes": list(near)})
 
-    coded = materialize(ok.mapInPandas(assign, f"{key} long, v array<double>, list int, code binary"))
+    coded = materialize(ok.mapInPandas(assign, f"{key} long, v array<double>, list int, code binary, err double"))
     queries = ok.where(F.pmod(key, F.lit(every)) == 0).mapInPandas(ask, f"{key} long, v array<double>, probes array<int>")
     held = [(int(r[0]), int(-(-r[1] // BLOCK))) for r in coded.groupBy("list").count().collect()]
     blocks = F.broadcast(spark.createDataFrame(held, "list int, nd int"))
@@ -274,13 +288,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
         if len(a) and len(b):
             qx, qid, dx, did = stack(a["v"]), a[key].to_numpy(), stack(b["v"]), b[key].to_numpy()
             codes = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
+            err = b["err"].to_numpy()
             for lo in range(0, len(a), STEP):
-                est = sent.value.asymmetric(qx[lo : lo + STEP], int(key_[0]), codes)
-                est[qid[lo : lo + STEP][:, None] == did[None, :]] = np.inf
-                take = min(RERANK * k, len(b))
-                best = np.argpartition(est, take - 1, axis=1)[:, :take] if take < len(b) else np.tile(np.arange(len(b)), (len(est), 1))
-                for i, cand in enumerate(best):
-                    cand = cand[np.isfinite(est[i, cand])]
+                for i, cand in enumerate(candidates(sent.value, qx[lo : lo + STEP], qid[lo : lo + STEP], int(key_[0]), codes, err, did, k)):
                     d = np.sqrt(((dx[cand] - qx[lo + i]) ** 2).sum(1))
                     top = np.lexsort((did[cand], d))[:k]
                     out.extend(zip([qid[lo + i]] * len(top), did[cand][top], d[top], strict=True))

@@ -236,3 +236,19 @@ def test_nearest_by_brute_force(spark):
     assert hits >= 0.9 * 10 * len(got)
     few, _ = vectors(spark, m[:5])
     assert len(ivfpq.nearest(few).collect()) == 4 and ivfpq.nearest(few.limit(0)).count() == 0
+
+
+def test_nearest_settles_ties_of_many_copies(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(2600, 16)).astype(np.float32)
+    m[rng.permutation(np.arange(1, 2600))[:700]] = m[0]
+    m[rng.permutation(np.arange(1, 2600))[:300]] = m[1] + rng.normal(size=(300, 16)).astype(np.float32) * 1e-3
+    m[200], m[300] = m[0], m[1]
+    df, n = vectors(spark, m, odd=False)
+    got: dict = {}
+    for r in ivfpq.nearest(df).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for q in (0, 200, 300):
+        d = np.sqrt(((m.astype(float) - m[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        assert [got[q][i] for i in range(1, 11)] == np.lexsort((np.arange(n), d))[:10].tolist()
