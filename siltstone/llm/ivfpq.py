@@ -238,7 +238,7 @@ def candidates(index: Index, q: np.ndarray, qid: np.ndarray, home: int, codes: n
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id") -> DataFrame:
     """The k nearest of each vector whose key is divisible by `every`, by Euclidean distance. query_id, rank, vec_id, score.
 
-    Queries seek as many lists as a sample says they need, take every code of a block whose exact distance may be among
+    Queries seek as many lists as a sample says they need, and further ones until k others are in them; they take every code of a block whose exact distance may be among
     the k smallest there (the code's own error is known, so none is lost, copies and near copies neither), and rank by
     exact distances in double precision; ties go to the smaller key. Repeated keys are vectors of their own as
     candidates, but never their own query's. With fewer than k candidates all are returned; an empty table, or one
@@ -252,7 +252,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(0)).select("query_id", "rank", "vec_id", "score")
     sample = sample if len(sample) > 1 else stack(ok.limit(100).toPandas()["v"])
     index = fit(sample, int(np.clip(np.sqrt(n) / 2, 1, 2048)))
-    # a small table is sought whole, so that k are found where there are k
+    # a small table is sought whole
     probes = len(index.centroids) if n < 2000 else probes_for(index, sample, k)
     sent = spark.sparkContext.broadcast(index)
 
@@ -271,13 +271,21 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
         ix = sent.value
         for b in batches:
             if len(b):
-                near = np.argsort(ix.distances(stack(b["v"])), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({key: b[key], "v": b["v"], "probes": list(near)})
+                near = np.argsort(ix.distances(stack(b["v"])), axis=1, kind="stable")
+                # lists before which fewer than k rows of other keys are sure to have been met
+                ahead = np.cumsum(rows_in[near], axis=1) - rows_in[near]
+                open_ = ahead < k + b["own"].to_numpy()[:, None]
+                open_[:, :probes] = True
+                yield pd.DataFrame({key: b[key], "v": b["v"], "probes": [p[o] for p, o in zip(near, open_, strict=True)]})
 
     coded = materialize(ok.mapInPandas(assign, f"{key} long, v array<double>, list int, code binary, err double"))
-    queries = ok.where(F.pmod(key, F.lit(every)) == 0).mapInPandas(ask, f"{key} long, v array<double>, probes array<int>")
-    held = [(int(r[0]), int(-(-r[1] // BLOCK))) for r in coded.groupBy("list").count().collect()]
-    blocks = F.broadcast(spark.createDataFrame(held, "list int, nd int"))
+    sizes = {int(r[0]): int(r[1]) for r in coded.groupBy("list").count().collect()}
+    rows_in = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
+    blocks = F.broadcast(spark.createDataFrame([(i, -(-c // BLOCK)) for i, c in sizes.items()], "list int, nd int"))
+    queries = ok.where(F.pmod(key, F.lit(every)) == 0)
+    # rows of a query's own key are none of its candidates
+    own = queries.groupBy(key).agg(F.count(F.lit(1)).alias("own"))
+    queries = queries.join(own, key).mapInPandas(ask, f"{key} long, v array<double>, probes array<int>")
     # queries are 1 / every of the rows: those of one list are dealt over blocks of them too
     per_list = max(1, -(-n // every // BLOCK))
     db = coded.join(blocks, "list").withColumn("d", F.pmod(F.xxhash64(F.lit(1), key), F.col("nd")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(per_list - 1)))).drop("nd")

@@ -252,3 +252,21 @@ def test_nearest_settles_ties_of_many_copies(spark):
         d = np.sqrt(((m.astype(float) - m[q].astype(float)) ** 2).sum(1))
         d[q] = np.inf
         assert [got[q][i] for i in range(1, 11)] == np.lexsort((np.arange(n), d))[:10].tolist()
+
+
+def test_nearest_finds_k_beside_small_lists(spark, monkeypatch):
+    """Far outliers have lists of their own, which hold fewer than k others."""
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(2400, 8)).astype(np.float32) * 0.01
+    m[:, 0] += np.arange(2400) % 4
+    far = [100, 101, 102, 700, 701]
+    m[far] += np.array([[50] * 8] * 3 + [[-50] * 8] * 2)
+    centres = np.array([[c] + [0] * 7 for c in range(4)] + [[50] * 8, [-50] * 8], float)
+    fit = ivfpq.fit
+    monkeypatch.setattr(ivfpq, "fit", lambda sample, lists: ivfpq.Index(centres, (ix := fit(sample, lists)).parts, ix.books))
+    df, _ = vectors(spark, m, odd=False)
+    df = df.union(df.where("vec_id = 100"))
+    got: dict = {}
+    for r in ivfpq.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r["rank"])
+    assert len(got) == 24 and all(ranks == set(range(1, 11)) for ranks in got.values())
