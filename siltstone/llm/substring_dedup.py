@@ -1,7 +1,7 @@
 """Operator 7, fuzzy passages that repeat across documents, by collinear chaining of shared k-mer seeds.
 
-1. Seeds: of the word 5-mers of a text those that are smallest in a window of WINDOW (winnowing), so that any
-   WINDOW + 4 words in common share a seed.
+1. Seeds: every word 5-mer of a text, so that edited passages keep their anchors. They are dealt by ranges of their
+   hash, many in one row.
 2. Matches: every occurrence of a seed is joined with one earlier occurrence in another document, never with all of
    them: first within its batch of documents, where the earliest occurrence stands for the others, then, for those
    earliest ones alone, across the corpus. So a seed that a third of all documents hold is combined before the
@@ -25,19 +25,20 @@ import re
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import materialize, table
 from siltstone.llm.shingles import shingles, word_hashes
 
-K, WINDOW = 5, 12
+K = 5
+#: Ranges of seeds, each handled at once: some 2 million seeds in one at 30 GB of text.
+RANGE_BITS = 13
 MIN_WORDS = 50
 #: A chain's span in words before it is extended, and after; only united stretches have to reach min_words.
 MIN_SPAN, MIN_CHAIN = 10, 20
 MIN_IDENTITY = 0.8
-#: A link of a chain costs this for each word that it leaps over, on both sides; an anchor earns K.
+#: A link of a chain costs this for each word that it leaps over, on both sides; a run of anchors earns its words.
 GAP_COST = 0.1
 #: Words on both sides of a chain that extension may look at for each word of the least passage.
 REACH = 200
@@ -45,35 +46,46 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the winnowed k-mers of a text."""
-    if len(words) < K:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    s = shingles(words, K)
-    if len(s) <= WINDOW:
-        at = np.array([s.argmin()])
-    else:
-        at = np.unique(sliding_window_view(s, WINDOW).argmin(1) + np.arange(len(s) - WINDOW + 1))
-    return at, s[at]
+    """Positions and hashes of the k-mers of a text."""
+    s = shingles(words, K) if len(words) >= K else np.zeros(0, np.uint64)
+    return np.arange(len(s)), s
+
+
+def linked(seed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of occurrences in the order of (seed, doc, pos): the first of each seed, and which is matched with which earlier one."""
+    new = np.append(True, seed[1:] != seed[:-1])[: len(seed)]
+    first = np.flatnonzero(new)
+    owner = np.repeat(first, np.diff(np.append(first, len(seed))))
+    match = np.flatnonzero(doc != doc[owner])
+    return first, match, owner[match]
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on, which compresses well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unpack(b: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def local_matches(ids: np.ndarray, words: list[np.ndarray]) -> pd.DataFrame:
-    """Matches within a batch (kind 0), and the earliest occurrence of each seed of it (kind 1, key: the seed)."""
+    """The earliest occurrence of each seed of a batch (a row for each range of seeds), and matches within it (ranges below 0)."""
     got = [seeds_of(w) for w in words]
-    pos = np.concatenate([g[0] for g in got] or [np.zeros(0, np.int64)])
-    seed = np.concatenate([g[1] for g in got] or [np.zeros(0, np.uint64)]).view(np.int64)
-    doc = np.repeat(ids, [len(g[0]) for g in got])
+    pos = np.concatenate([g[0] for g in got] or [np.zeros(0, np.int64)]).astype(np.int32)
+    seed = np.concatenate([g[1] for g in got] or [np.zeros(0, np.uint64)])
+    doc = np.repeat(ids, [len(g[0]) for g in got]).astype(np.int64)
     order = np.lexsort((pos, doc, seed))
     seed, doc, pos = seed[order], doc[order], pos[order]
-    new = np.append(True, seed[1:] != seed[:-1])[: len(seed)]
-    first = np.flatnonzero(new)
-    owner = np.repeat(first, np.diff(np.append(first, len(seed))))
-    match = doc != doc[owner]
-    rows = {
-        "key": np.concatenate([seed[first], doc[match]]), "kind": np.concatenate([np.ones(len(first), np.int8), np.zeros(match.sum(), np.int8)]),
-        "doc": np.concatenate([doc[first], doc[match]]), "pos": np.concatenate([pos[first], pos[match]]),
-        "odoc": np.concatenate([np.zeros(len(first), np.int64), doc[owner][match]]), "opos": np.concatenate([np.zeros(len(first), np.int64), pos[owner][match]]),
-    }
-    return pd.DataFrame(rows)
+    first, a, b = linked(seed, doc)
+    s, d, p = seed[first], doc[first], pos[first]
+    part = (s >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
+    rows = [(int(part[i]), _pack(s[i:j]), _pack(d[i:j]), _pack(p[i:j]), None) for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+    for i in range(0, len(a), 20_000):
+        x, y = a[i : i + 20_000], b[i : i + 20_000]
+        rows.append((-1 - int(seed[x[0]] % np.uint64(1 << RANGE_BITS)), _pack(doc[y]), _pack(doc[x]), _pack(pos[x]), _pack(pos[y])))
+    return pd.DataFrame(rows, columns=["part", "key", "doc", "pos", "opos"])
 
 
 def matches_of(docs: DataFrame) -> DataFrame:
@@ -86,26 +98,29 @@ def matches_of(docs: DataFrame) -> DataFrame:
                 yield local_matches(ids[at : at + 2000], word_hashes(texts[at : at + 2000]))
 
     def across(batches):
-        key = doc0 = pos0 = None
+        at, held = None, []
         for b in batches:
-            kind = b["kind"].to_numpy()
-            yield b.loc[kind == 0, ["doc", "pos", "odoc", "opos"]]
-            s = b[kind == 1]
-            if not len(s):
-                continue
-            seed, doc, pos = s["key"].to_numpy(), s["doc"].to_numpy(), s["pos"].to_numpy()
-            first = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
-            length = np.diff(np.append(first, len(seed)))
-            od, op = doc[first].copy(), pos[first].copy()
-            if key is not None and seed[0] == key:
-                od[0], op[0] = doc0, pos0  # the seed's rows go on from the batch before
-            od, op = np.repeat(od, length), np.repeat(op, length)
-            key, doc0, pos0 = seed[-1], od[-1], op[-1]
-            ok = doc != od
-            yield pd.DataFrame({"doc": doc[ok], "pos": pos[ok], "odoc": od[ok], "opos": op[ok]})
-
-    rows = docs.select("doc_id", "text").where("text is not null").mapInPandas(local, "key long, kind byte, doc long, pos int, odoc long, opos int")
-    rows = rows.repartition(F.col("key")).sortWithinPartitions("key", "kind", "doc", "pos")
+            for part, key, doc, pos, opos in zip(b["part"].tolist(), b["key"], b["doc"], b["pos"], b["opos"], strict=True):
+                if part < 0:
+                    yield pd.DataFrame({"doc": _unpack(doc, np.int64), "pos": _unpack(pos, np.int32), "odoc": _unpack(key, np.int64), "opos": _unpack(opos, np.int32)})
+                    continue
+                if part != at and held:
+                    yield merged(held)
+                    held = []
+                at = part
+                held.append((key, doc, pos))
+        if held:
+            yield merged(held)
+
+    def merged(held: list[tuple]) -> pd.DataFrame:
+        seed, doc, pos = (np.concatenate([_unpack(h[i], kind) for h in held]) for i, kind in enumerate((np.uint64, np.int64, np.int32)))
+        order = np.lexsort((pos, doc, seed))
+        seed, doc, pos = seed[order], doc[order], pos[order]
+        _, a, b = linked(seed, doc)
+        return pd.DataFrame({"doc": doc[a], "pos": pos[a], "odoc": doc[b], "opos": pos[b]})
+
+    rows = docs.select("doc_id", "text").where("text is not null").mapInPandas(local, "part int, key binary, doc binary, pos binary, opos binary")
+    rows = rows.repartition(F.col("part")).sortWithinPartitions("part")
     return rows.mapInPandas(across, "doc long, pos int, odoc long, opos int")
 
 
@@ -131,35 +146,40 @@ class Fenwick:
 
 
 def chains(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
-    """Indexes of the anchors of each chain; p ascending. Anchors are used once."""
+    """Indexes of the anchors of each chain, of a run of anchors that follow each other word by word the first and the last; p ascending. Anchors are used once."""
     if len(p) == 1:
         return [np.array([0])]
     dp, dq = np.diff(p), np.diff(q)
+    step = (dp == 1) & (dq == 1)
+    head, tail = np.flatnonzero(np.append(True, ~step)), np.flatnonzero(np.append(~step, True))
     if (dp == dq).all() and (dp > 0).all() and GAP_COST * 2 * dp.max() < K:
-        return [np.arange(len(p))]
-    ranks = np.unique(q, return_inverse=True)[1] + 1
+        return [np.union1d(head, tail)]
+    ranks = np.unique(np.concatenate([q[head], q[tail]]), return_inverse=True)[1] + 1
+    start, end = ranks[: len(head)].tolist(), ranks[len(head) :].tolist()
     tree = Fenwick(int(ranks.max()))
-    score, before = [0.0] * len(p), [-1] * len(p)
-    order = np.lexsort((-q, p)).tolist()
-    i, pl, ql = 0, p.tolist(), q.tolist()
-    while i < len(order):
-        j = i
-        while j < len(order) and pl[order[j]] == pl[order[i]]:
-            x = order[j]
-            value, who = tree.top(int(ranks[x]) - 1)
-            value -= GAP_COST * (pl[x] + ql[x])
-            score[x] = K + max(0.0, value)
-            before[x] = who if value > 0 else -1
-            j += 1
-        for x in order[i:j]:  # anchors at one position do not follow each other
-            tree.put(int(ranks[x]), score[x] + GAP_COST * (pl[x] + ql[x]), x)
-        i = j
+    ps, qs, pe, qe = p[head].tolist(), q[head].tolist(), p[tail].tolist(), q[tail].tolist()
+    score, before = [0.0] * len(head), [-1] * len(head)
+    ended, k = np.lexsort((qe, pe)).tolist(), 0
+    for x in np.lexsort((qs, ps)).tolist():
+        while k < len(ended) and pe[ended[k]] < ps[x]:
+            y = ended[k]
+            tree.put(end[y], score[y] + GAP_COST * (pe[y] + qe[y]), y)
+            k += 1
+        value, who = tree.top(start[x] - 1)
+        value -= GAP_COST * (ps[x] + qs[x])
+        score[x] = K + pe[x] - ps[x] + max(0.0, value)
+        before[x] = who if value > 0 else -1
     used, out = set(), []
-    for x in sorted(range(len(p)), key=lambda x: (-score[x], x)):
-        chain = []
+    for x in sorted(range(len(head)), key=lambda x: (-score[x], x)):
+        chain: list = []
         while x >= 0 and x not in used:
             used.add(x)
-            chain.append(x)
+            run = [tail[x], head[x]] if tail[x] > head[x] else [head[x]]
+            # passages far from each other are chains of their own, or their gap would count as differences
+            if chain and GAP_COST * (p[chain[-1]] - p[run[0]] + q[chain[-1]] - q[run[0]]) >= K:
+                out.append(np.array(chain[::-1]))
+                chain = []
+            chain += run
             x = before[x]
         if chain:
             out.append(np.array(chain[::-1]))

@@ -127,6 +127,36 @@ def test_passages_by_brute_force(spark):
     assert substring_dedup.passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def edited(rng, w, share):
+    """Words with a share of them replaced, the first and last three kept."""
+    w = list(w)
+    for i in rng.sample(range(3, len(w) - 3), round(share * len(w))):
+        w[i] = "edit" + str(rng.randrange(10**6))
+    return w
+
+
+def test_passages_with_many_edits(spark):
+    """Each edited copy keeps a chain, as by brute force; a passage whose edited ends are trimmed may be short of min_words."""
+    rng = random.Random(11)
+    texts, where = [], {}
+    for share in (0.1, 0.15, 0.2):
+        for n in (50, 55, 60):
+            for _ in range(20):
+                w = [f"w{rng.randrange(10**7)}" for _ in range(n)]
+                for x in (w, edited(rng, w, share)):
+                    texts.append(" ".join([*(f"a{rng.randrange(10**7)}" for _ in range(40)), *x, *(f"b{rng.randrange(10**7)}" for _ in range(40))]))
+                where[len(texts) - 1] = n
+    docs = frame(spark, rows(texts))
+    grams = [{tuple(w[i : i + 5]): i for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    shared = {d: [i for g, i in grams[d].items() if g in grams[d - 1]] for d in where}
+    want = {d for d, at in shared.items() if at and max(at) - min(at) >= 5}
+    chained = {r.doc for r in substring_dedup.chains_of(substring_dedup.matches_of(docs)).collect()}
+    assert len(want & chained) >= 0.99 * len(where)
+    got = {r.doc_id: r for r in substring_dedup.passages(docs).collect()}
+    assert set(got) <= set(where) and len(got) >= 0.8 * len(where)
+    assert all(r.source_doc_ids == [d - 1] and 40 <= r.start_word and r.end_word <= 40 + where[d] for d, r in got.items())
+
+
 def test_cutting_leaves_the_rest(spark):
     rng = random.Random(4)
     p = prose(rng, "en", 70)
