@@ -157,6 +157,23 @@ def test_passages_with_many_edits(spark):
     assert all(r.source_doc_ids == [d - 1] and 40 <= r.start_word and r.end_word <= 40 + where[d] for d, r in got.items())
 
 
+@pytest.mark.parametrize(("lines", "n"), [(3, 18), (4, 15), (5, 12)])
+def test_passages_of_lines_with_other_owners(spark, lines, n):
+    """Each line of a passage occurs earlier in a document of its own; the two later holders of all of it still meet."""
+    rng = random.Random(12)
+    new = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    first, later = [], []
+    for _ in range(25):
+        own = [new(n) for _ in range(lines)]
+        first += [[*new(30), *x, *new(30)] for x in own]
+        whole = sum(own, [])
+        later += [[*new(30), *whole, *new(30)], [*new(30), *whole, *new(30)]]
+    texts = [" ".join(w) for w in first + later]
+    got = {r.doc_id: r for r in substring_dedup.passages(frame(spark, rows(texts))).collect()}
+    want = range(len(first) + 1, len(texts), 2)
+    assert all(d in got and got[d].n_words == lines * n and d - 1 in got[d].source_doc_ids for d in want)
+
+
 def test_cutting_leaves_the_rest(spark):
     rng = random.Random(4)
     p = prose(rng, "en", 70)
