@@ -11,9 +11,14 @@ The orders up to `shared` pool the counts of all classes, so that what is rare s
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from siltstone.llm.common import mix64
+from siltstone.llm.common import materialize, mix64
 
 START, END = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +55,47 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def gram_counts(words: list[str], cls: np.ndarray, weight: np.ndarray, order: int, classes: int):
+    """Yields, for n from 1 to order, the distinct (n-gram, class): hashes of the n-gram, its context and its suffix, whether it begins at the start mark, class, count.
+
+    Counts of parts of the words add up to those of all, so they can be taken anywhere.
+    """
+    codes, word, at = _encode(words)
+    cls, weight = np.asarray(cls)[word] if len(word) else np.zeros(0, int), np.asarray(weight, float)[word] if len(word) else np.zeros(0)
+    lower = np.zeros(len(codes), np.uint64)
+    for n, h in enumerate(_hashes(codes, order), 1):
+        pos = np.flatnonzero((at >= 1) & (at >= n - 1))
+        inverse = np.unique(h[pos], return_inverse=True)[1]
+        key, first, inverse = np.unique(inverse * classes + cls[pos], return_index=True, return_inverse=True)
+        count = np.bincount(inverse, weights=weight[pos], minlength=len(key))
+        first = pos[first]
+        yield h[first], lower[np.maximum(first - 1, 0)], lower[first], at[first] == n - 1, cls[first], count
+        lower = h
+
+
+GRAMS = "n int, gram long, context long, suffix long, anchored boolean, cls int, weight double"
+
+
+def gram_rows(words: list[str], cls: np.ndarray, weight: np.ndarray, order: int, classes: int, step: int = 50_000):
+    """gram_counts as frames of the GRAMS schema, for the executors."""
+    for at in range(0, len(words), step):
+        part = slice(at, at + step)
+        for n, (gram, context, suffix, anchored, c, count) in enumerate(gram_counts(words[part], cls[part], weight[part], order, classes), 1):
+            if not len(gram):
+                continue
+            yield pd.DataFrame({"n": np.full(len(gram), n, np.int32), "gram": gram.view(np.int64), "context": context.view(np.int64), "suffix": suffix.view(np.int64), "anchored": anchored, "cls": c.astype(np.int32), "weight": count})
+
+
+def collected(rows: DataFrame, order: int):
+    """The sums of rows of GRAMS, one order after another: the driver gets n-grams, whose number grows with the language and not with the words."""
+    sums = rows.groupBy("n", "gram", "cls").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.first("anchored").alias("anchored"), F.sum("weight").alias("weight"))
+    sums = materialize(sums)
+    for n in range(1, order + 1):
+        got = sums.where(F.col("n") == n).drop("n").toPandas()
+        hashes = [got[c].to_numpy(np.int64).view(np.uint64) for c in ("gram", "context", "suffix")]
+        yield *hashes, got["anchored"].to_numpy(bool), got["cls"].to_numpy(np.int64), got["weight"].to_numpy(float)
+
+
 class CharModel:
     def __init__(self, classes: int, order: int = 5, discount: float = 0.75, shared: int = 0):
         self.classes, self.order, self.discount, self.shared = classes, order, discount, shared
@@ -60,20 +106,18 @@ class CharModel:
         self.base = 1.0
 
     def fit(self, words: list[str], cls: np.ndarray, weight: np.ndarray) -> CharModel:
+        return self.fit_counts(gram_counts(words, cls, weight, self.order, self.classes))
+
+    def fit_counts(self, counts: Iterable[tuple]) -> CharModel:
+        """counts: for each order from 1 what gram_counts yields, whole or in parts one after another."""
         L, K, D = self.classes, self.order, self.discount
-        codes, word, at = _encode(words)
-        cls, weight = np.asarray(cls)[word] if len(word) else np.zeros(0, int), np.asarray(weight, float)[word] if len(word) else np.zeros(0)
-        self.base = 1.0 / (len(np.unique(codes)) + 1)
         found: list[dict] = []
-        lower = np.zeros(len(codes), np.uint64)
-        for n, h in enumerate(_hashes(codes, K), 1):
-            pos = np.flatnonzero((at >= 1) & (at >= n - 1))
-            grams, first, inverse = np.unique(h[pos], return_index=True, return_inverse=True)
-            first = pos[first]
-            raw = np.bincount(inverse * L + cls[pos], weights=weight[pos], minlength=len(grams) * L).reshape(len(grams), L)
-            before = np.maximum(first - 1, 0)
-            found.append({"grams": grams, "raw": raw, "context": lower[before], "suffix": lower[first], "anchored": at[first] == n - 1})
-            lower = h
+        for gram, context, suffix, anchored, cls, weight in counts:
+            grams, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+            raw = np.bincount(inverse * L + cls, weights=weight, minlength=len(grams) * L).reshape(len(grams), L)
+            found.append({"grams": grams, "raw": raw, "context": context[first], "suffix": suffix[first], "anchored": anchored[first]})
+        # one more for the start mark, and one for what is unknown
+        self.base = 1.0 / (len(found[0]["grams"]) + 2) if found and len(found[0]["grams"]) else 1.0
         below = None
         for n, f in enumerate(found, 1):
             count = f["raw"]

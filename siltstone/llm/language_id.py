@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import CACHE_ENTRIES, fold, letter_words, pieces, sample_per_class, table
-from siltstone.llm.kneser_ney import CharModel
+from siltstone.llm.kneser_ney import GRAMS, CharModel, collected, gram_rows
 
 #: Training rows of each language at most, in expectation (a documented bound of the classifier's sample).
 TRAIN_ROWS = 2_000
-#: A word is counted if it makes this share of its language's sampled words, so a language has 1 / LEAST_SHARE words at most.
-LEAST_SHARE = 1e-5
 #: One in so many sampled rows calibrates the score and is not counted.
 CALIBRATE = 8
 #: Scores below give accepted = false.
@@ -79,12 +77,15 @@ class Scorer:
         self.index.update(zip(words, range(start, start + len(words)), strict=True))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, least: float = LEAST_SHARE, order: int = 5) -> Model:
-    """docs: doc_id, text, lang, training rows only."""
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, order: int = 5) -> Model:
+    """docs: doc_id, text, lang, training rows only. Character n-grams of all sampled words are counted on the executors."""
     spark = docs.sparkSession
     sample = sample_per_class(docs.where("lang is not null and text is not null").select("doc_id", "text", "lang"), "lang", "doc_id", rows)
     sample = sample.withColumn("_kept", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(CALIBRATE)) == 0)
 
+    langs = sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())
+    number = {v: k for k, v in enumerate(langs)}
+
     def count(batches):
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
@@ -92,18 +93,14 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, least: float = LEAST_SHARE, o
                 for text in texts:
                     for piece in pieces(text):
                         seen.update(letter_words(piece))
-                yield pd.DataFrame({"lang": lang, "word": list(seen), "n": list(seen.values())})
+                words = ["".join(filter(str.isalpha, w)) for w in seen]
+                kept = np.array([w != "" for w in words], bool)
+                weight = np.fromiter(seen.values(), float, len(seen))[kept]
+                yield from gram_rows([w for w in words if w], np.full(len(weight), number[lang]), weight, order, len(number))
 
-    counts = sample.where("not _kept").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    langs = sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = counts.join(totals, "lang").where(F.col("n") >= F.col("total") * least).toPandas()
-    frequent["word"] = ["".join(filter(str.isalpha, w)) for w in frequent["word"]]
-    frequent = frequent[frequent["word"] != ""].sort_values(["lang", "word"])
-    words, cls, weight = list(frequent["word"]), frequent["lang"].map({v: k for k, v in enumerate(langs)}).to_numpy(int), frequent["n"].to_numpy()
-    chars = CharModel(len(langs), order).fit(words, cls, weight)
+    chars = CharModel(len(langs), order).fit_counts(collected(sample.where("not _kept").mapInPandas(count, GRAMS), order))
     model = Model(langs, chars)
-    if not words:
+    if not len(chars.grams[1]):
         return Model([], CharModel(1, 1))
     sent = spark.sparkContext.broadcast(model)
 

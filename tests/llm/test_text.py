@@ -68,6 +68,18 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language_id.predict(train, nothing).collect()} == {"und"}
 
 
+def test_language_counts_words_met_once(spark):
+    """Beside 120,000 words that repeat, words met once still say what a language looks like."""
+    rng = random.Random(10)
+    rare = lambda n: " ".join("".join(rng.choice("qxzjvw") for _ in range(9)) for _ in range(n))
+    texts = ["the same common words " * 2500 + rare(40) for _ in range(12)] + [prose(rng, "de", 200) for _ in range(12)]
+    model = language_id.train(frame(spark, rows(texts, ["en"] * 12 + ["de"] * 12)))
+    seen = [w for t in texts[:12] for w in t.split()[10_000:]]
+    fit = {w[i : i + 2] for w in seen for i in range(8)}
+    s, n = model.chars.score([rare(1) for _ in range(50)])
+    assert len(fit) == 36 and (s[:, model.langs.index("en")] / n).mean() > -3
+
+
 # ---- toxicity
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(4)
