@@ -92,8 +92,9 @@ def collected(rows: DataFrame, order: int):
     sums = materialize(sums)
     for n in range(1, order + 1):
         got = sums.where(F.col("n") == n).drop("n").toPandas()
-        hashes = [got[c].to_numpy(np.int64).view(np.uint64) for c in ("gram", "context", "suffix")]
-        yield *hashes, got["anchored"].to_numpy(bool), got["cls"].to_numpy(np.int64), got["weight"].to_numpy(float)
+        hashes = [got.pop(c).to_numpy(np.int64).view(np.uint64) for c in ("gram", "context", "suffix")]
+        yield *hashes, got.pop("anchored").to_numpy(bool), got.pop("cls").to_numpy(np.int64), got.pop("weight").to_numpy(float)
+        del got, hashes
 
 
 class CharModel:
@@ -116,6 +117,7 @@ class CharModel:
             grams, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
             raw = np.bincount(inverse * L + cls, weights=weight, minlength=len(grams) * L).reshape(len(grams), L)
             found.append({"grams": grams, "raw": raw, "context": context[first], "suffix": suffix[first], "anchored": anchored[first]})
+        gram = context = suffix = anchored = cls = weight = first = inverse = raw = None  # the largest order's are not needed any more
         # one more for the start mark, and one for what is unknown
         self.base = 1.0 / (len(found[0]["grams"]) + 2) if found and len(found[0]["grams"]) else 1.0
         below = None
@@ -130,9 +132,7 @@ class CharModel:
                 count = np.repeat(count.sum(1, keepdims=True), L, 1)
             contexts, inverse = np.unique(f["context"], return_inverse=True)
             total = np.zeros((len(contexts), L))
-            types = np.zeros((len(contexts), L))
             np.add.at(total, inverse, count)
-            np.add.at(types, inverse, (count > 0).astype(float))
             # a discount never takes more than the smallest count, also where counts are weighted
             cut = np.minimum(count, D)
             taken = np.zeros((len(contexts), L))
@@ -145,6 +145,7 @@ class CharModel:
             self.contexts.append(contexts)
             self.backoff.append(np.log(np.maximum(bow, 1e-30)).astype(np.float32))
             below = prob
+            del f["raw"], f["context"], f["suffix"], count, total, cut, taken, bow, under, prob
         return self
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,15 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import CACHE_ENTRIES, fold, letter_words, materialize, pieces, sample_per_class, table
-from siltstone.llm.kneser_ney import CharModel
+from siltstone.llm.kneser_ney import GRAMS, CharModel, collected, gram_rows
 
 #: Labelled training rows of each class at most, in expectation (a documented bound of the classifier's sample).
 TRAIN_ROWS = 16_000
 #: Training rows of each class that fit the logistic weights, in expectation.
 FIT_ROWS = 4_000
-#: A word's counts are kept if they make this share of either class's total, so there are at most 2 / LEAST_SHARE of
-#: them; rarer words are left to the character model.
-LEAST_SHARE = 2e-6
+ORDER = 6
 #: Of each word's document count; a word of one document is left to the character model.
 DISCOUNT = 1.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, log_ratio double"
@@ -46,13 +45,22 @@ CLIP = 20.0
 class Model:
     base: float
     chars: CharModel | None = None
-    #: word -> (documents of class 0, of class 1)
-    counts: dict[str, tuple[int, int]] = field(default_factory=dict)
+    #: the words of two documents or more, one a line, and their documents by class: the driver holds no object for each
+    words: str = ""
+    numbers: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int32))
     totals: np.ndarray = field(default_factory=lambda: np.zeros(2))
     types: np.ndarray = field(default_factory=lambda: np.zeros(2))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
     scale: tuple = (np.zeros(FEATURES), np.ones(FEATURES))
 
+    @cached_property
+    def counts(self) -> dict[str, tuple[int, int]]:
+        """word -> (documents of class 0, of class 1), made where it is first needed."""
+        return dict(zip(self.words.split("\n"), map(tuple, self.numbers.tolist()), strict=True)) if self.words else {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "counts"}
+
     def ratios(self, words: list[str], own: int | None = None) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary); own: the class that a scored training row added to."""
         n = np.array([self.counts.get(w, (0, 0)) for w in words], float).reshape(-1, 2)
@@ -121,15 +129,22 @@ def train(labelled: DataFrame, base: float, fit_rows: int = FIT_ROWS) -> Model:
     sizes = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model(base)
-    totals = words.agg(F.sum("n0"), F.sum("n1")).first()
-    if not totals[0] or not totals[1]:
+    sums = words.agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
+    if not sums[0] or not sums[1]:
         return Model(base)
-    kept = words.where((F.col("n0") >= totals[0] * LEAST_SHARE) | (F.col("n1") >= totals[1] * LEAST_SHARE)).toPandas().sort_values("word")
-    n = kept[["n0", "n1"]].to_numpy()
-    names = kept["word"].to_list()
-    cls, at = np.nonzero(n.T > 0)
-    chars = CharModel(2, order=6, shared=2).fit([names[i] for i in at], cls, np.ones(len(at)))
-    model = Model(base, chars, {w: (int(a), int(b)) for w, (a, b) in zip(names, n, strict=True)}, np.maximum(n.sum(0).astype(float), 1), (n > 0).sum(0).astype(float))
+
+    def grams_of(batches):
+        for b in batches:
+            cls, at = np.nonzero(b[["n0", "n1"]].to_numpy().T > 0)
+            names = b["word"].to_list()
+            yield from gram_rows([names[i] for i in at], cls, np.ones(len(at)), ORDER, 2)
+
+    chars = CharModel(2, order=ORDER, shared=2).fit_counts(collected(words.mapInPandas(grams_of, GRAMS), ORDER))
+    # the discount leaves nothing of a word of one document: the character model alone scores it
+    kept = words.where("n0 + n1 > 1").toPandas()
+    listed, numbers = "\n".join(kept["word"]), kept[["n0", "n1"]].to_numpy(np.int32)
+    del kept
+    model = Model(base, chars, listed, numbers, np.array(sums[:2], float), np.array(sums[2:], float))
     sent = spark.sparkContext.broadcast(model)
 
     def measure(batches):

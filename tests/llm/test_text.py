@@ -101,6 +101,18 @@ def test_toxicity_of_odd_texts(spark):
         assert toxicity.score(empty(spark), m).count() == 0
 
 
+def test_toxicity_counts_rare_words_at_size(spark):
+    """Rare words of a large sample are in the character model, those of two documents in the word table."""
+    n, m = 3_000, 400
+    common = " ".join(f"{'abcdefghij'[j % 10]}{chr(97 + j // 10 % 26)}{'xyz'[j // 260]}" for j in range(m))
+    odd = {0: "zqzqvkrud", 2: "zqzqvkrund", 4: "zqzqvkrid", 6: "twice", 8: "twice"}
+    texts = [f"{common} {odd.get(i, 'aax')} {'w' + ''.join('abcdefghij'[int(c)] for c in str(i))}" for i in range(n)]
+    sample = spark.createDataFrame([(i, t, int(i % 2 == 0)) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    model = toxicity.train(sample, 0.5, 100)
+    assert model.ratios(["zqzqvkred"])[0] > 1 and model.counts["twice"] == (0, 2)
+    assert model.totals.sum() == sum(len(set(t.split())) for t in texts)
+
+
 # ---- tokens
 def test_token_counts_equal_the_library(spark):
     import sentencepiece
