@@ -1,4 +1,4 @@
-"""Operator 6, packing: shortest-pack-first over the histogram of lengths.
+"""Operator 6, packing: best-fit decreasing over the histogram of lengths.
 
 A document's tokens and one end id are cut into pieces of `limit` ids, each a full sequence, and one shorter rest.
 The rests' lengths are counted (fewer than `limit` counts, which is all the driver gets), and placed longest first:
