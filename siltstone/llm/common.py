@@ -21,6 +21,8 @@ PIECE_CHARS = 1 << 18
 BATCH_BYTES = str(16 << 20)
 #: Entries of a per-worker cache before it is emptied.
 CACHE_ENTRIES = 300_000
+#: Bytes of one generation of a worker's memory of words.
+CACHE_BYTES = 160 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,23 +85,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Known(dict):
-    """What a worker remembers of words, in two generations: when one is full it becomes the older one, and words that are met again move on."""
+class Known:
+    """What a worker remembers of words, in two generations of bounded size: when one is full it becomes the older one, and words that are met again move on.
 
-    def __init__(self, fixed: dict | None = None, entries: int = CACHE_ENTRIES):
-        super().__init__(fixed or {})
-        self.fixed, self.entries, self.older = fixed or {}, entries, {}
+    `now` is a plain dictionary that holds at least the words of the last call of `unknown` once they have been learned.
+    """
+
+    #: Bytes of a word's entry beside its characters: two objects and a place in the table.
+    ENTRY = 200
+
+    def __init__(self, fixed: dict | None = None, most_bytes: int = CACHE_BYTES):
+        self.fixed, self.most = fixed or {}, most_bytes
+        self.now, self.older, self.held = dict(self.fixed), {}, 0
 
     def unknown(self, words: set) -> list:
         """The words that neither generation knows; the others are at hand afterwards."""
-        new = words.difference(self)
-        if len(self) + len(new) > self.entries:
-            self.older = dict(self)
-            self.clear()
-            self.update(self.fixed)
-            new = words.difference(self)
-        if self.older:
-            again = new.intersection(self.older)
-            self.update((w, self.older[w]) for w in again)
-            new -= again
-        return list(new)
+        now = self.now
+        new = [w for w in words if w not in now]
+        size = sum(map(len, new)) + self.ENTRY * len(new)
+        if self.held + size > self.most:
+            self.older, self.now, self.held = self.now, dict(self.fixed), 0
+            now = self.now
+            new = [w for w in words if w not in now]
+            size = sum(map(len, new)) + self.ENTRY * len(new)
+        self.held += size
+        older = self.older
+        if older:
+            now.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in now]
+        return new

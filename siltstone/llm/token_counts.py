@@ -23,8 +23,6 @@ from siltstone.llm.common import Known, table
 
 LIMIT = 4096
 BATCH_CHARS = 4 << 20
-#: Parts whose counts a task remembers.
-WORDS = 500_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: A part of a text with one space in front: a word with the spaces before it, a line feed, or spaces that no word follows.
 PART = re.compile(r" *[^ \n]+|\n| +")
@@ -53,7 +51,7 @@ class Counter:
         size = lambda text: len(self.sp.encode(text, num_threads=1))
         self.lead = size("\n")
         self.fixed = {"": size("a ") - size("a"), "\n": size("a\n") - size("a"), "\x01": 0}
-        self.known = Known(self.fixed, WORDS)
+        self.known = Known(self.fixed)
 
     def _parts(self, text: str) -> list[str]:
         if not ("  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] == " "):
@@ -66,7 +64,7 @@ class Counter:
 
     def _learn(self, parts: list[str]) -> None:
         got = self.sp.encode(["\n" + p[1:] if p[0] == "\x01" else p for p in parts], num_threads=1)
-        self.known.update((p, len(ids) - self.lead * (p[0] == "\x01")) for p, ids in zip(parts, got, strict=True))
+        self.known.now.update((p, len(ids) - self.lead * (p[0] == "\x01")) for p, ids in zip(parts, got, strict=True))
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
@@ -75,7 +73,7 @@ class Counter:
         if new := self.known.unknown(set().union(*split)):
             self._learn(new)
         for i, (parts, text) in enumerate(zip(split, texts, strict=True)):
-            out[i] = sum(map(self.known.__getitem__, parts)) if parts else len(self.sp.encode(text, num_threads=1)) if text else 0
+            out[i] = sum(map(self.known.now.__getitem__, parts)) if parts else len(self.sp.encode(text, num_threads=1)) if text else 0
         return out
 
 
