@@ -1,16 +1,19 @@
 """Operator 9, toxicity.
 
-Class-conditional Kneser-Ney models of toxic and ordinary text. The top level holds each word's document counts by
-class, discounted; what the discount frees goes to a character model of the class, fitted on distinct words (type
-counts), whose lowest orders share the pooled counts of both classes, so that rare expressions score alike in both.
-A text is compared by length-normalised log-likelihoods: of the whole text, and of its most toxic words, since a
-few words decide. A logistic fit on a bounded sample of training rows, each scored without its own counts, turns
-the comparisons into a score.
+Class-conditional Kneser-Ney models of toxic and ordinary text, of documents by class. The top level holds each
+word's document counts, discounted; what the discount frees goes to the word's stem (its first STEM letters), counted
+by distinct words of the class, discounted too; what that frees goes to continuation counts that both classes share
+(in how many classes a word or stem occurs at all). So a rare expression scores alike in both classes unless it, or
+its family of words, has been met more often in one. A word's evidence is the ratio of both likelihoods, each
+relative to what its class leaves to unseen words; a text is compared by the length-normalised ratio of the whole,
+and by its most toxic words, since a few decide. A logistic fit on a bounded sample of training rows, each scored
+without its own counts, turns the comparisons into a score.
 
 Null and empty texts, and texts without a letter, get the score of no evidence (the fit's value at zeros). Exact
-copies of a text count once in training. With no toxic or no ordinary training row, every score is the share of
-toxic labels (0 without labels). A doc_id with several labels counts for each. Columns beyond doc_id, text and
-toxic are not read; an empty table gives an empty result.
+copies of a text count once in training. Without training rows of both classes that hold words there is nothing to
+compare, and every score is 0. A doc_id with several labels counts for each; rows that repeat a doc_id are scored
+each by itself. Columns beyond doc_id, text and toxic are not read; an empty table gives an empty result. Very long
+texts are read in pieces, whole.
 """
 
 from __future__ import annotations
@@ -25,16 +28,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import CACHE_ENTRIES, fold, letter_words, materialize, pieces, sample_per_class, table
-from siltstone.llm.kneser_ney import GRAMS, CharModel, collected, gram_rows
+from siltstone.llm.common import fold, letter_words, materialize, pieces, sample_per_class, table
 
 #: Labelled training rows of each class at most, in expectation (a documented bound of the classifier's sample).
 TRAIN_ROWS = 16_000
 #: Training rows of each class that fit the logistic weights, in expectation.
 FIT_ROWS = 4_000
-ORDER = 6
-#: Of each word's document count; a word of one document is left to the character model.
+#: Letters of a stem; a word of no more has none.
+STEM = 5
+#: Probability of a stem that has not been met: one of all strings of that many letters.
+UNSEEN = 26.0**-STEM
+#: Taken of document counts and of a stem's kinds of words: what occurs once leaves its mass to the level below.
 DISCOUNT = 1.0
+#: Taken of the number of classes that share a word or stem.
+SHARED_DISCOUNT = 0.25
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, log_ratio double"
 FEATURES = 5
 #: A word's ratio beyond this says no more: the fit is about texts near the boundary.
@@ -42,51 +49,93 @@ CLIP = 20.0
 
 
 @dataclass
-class Model:
-    base: float
-    chars: CharModel | None = None
-    #: the words of two documents or more, one a line, and their documents by class: the driver holds no object for each
-    words: str = ""
+class Level:
+    """Counts by class of words, or of stems; those that occur once in all count as unseen and are not held."""
+
+    names: str = ""  # one a line: the driver holds no object for each
     numbers: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int32))
-    totals: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    types: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
-    scale: tuple = (np.zeros(FEATURES), np.ones(FEATURES))
+    totals: np.ndarray = field(default_factory=lambda: np.ones(2))
+    kinds: np.ndarray = field(default_factory=lambda: np.ones(2))
 
     @cached_property
-    def counts(self) -> dict[str, tuple[int, int]]:
-        """word -> (documents of class 0, of class 1), made where it is first needed."""
-        return dict(zip(self.words.split("\n"), map(tuple, self.numbers.tolist()), strict=True)) if self.words else {}
+    def index(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.names.split("\n"))} if self.names else {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "counts"}
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def counts(self, names: list[str]) -> np.ndarray:
+        get = self.index.get
+        at = np.array([get(w, -1) for w in names], np.int64)
+        return np.where(at[:, None] >= 0, self.numbers[at], 0).astype(float) if len(self.numbers) else np.zeros((len(names), 2))
+
+    def probability(self, n: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Of names with counts n by class, relative to the mass that each class leaves to the shared level; below: what is under that."""
+        n = np.where(n.sum(1, keepdims=True) > 1, n, 0)
+        kinds, totals = np.maximum(self.kinds, 1), np.maximum(self.totals, 1)
+        every = kinds.sum()
+        shared = np.maximum((n > 0).sum(1, keepdims=True) - SHARED_DISCOUNT, 0) / every
+        freed = DISCOUNT * kinds / totals
+        return np.maximum(n - DISCOUNT, 0) / totals / freed + shared + SHARED_DISCOUNT * below
+
+
+@dataclass
+class Model:
+    words: Level | None = None
+    stems: Level = field(default_factory=Level)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
+    scale: tuple = (np.zeros(FEATURES), np.ones(FEATURES))
 
     def ratios(self, words: list[str], own: int | None = None) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary); own: the class that a scored training row added to."""
-        n = np.array([self.counts.get(w, (0, 0)) for w in words], float).reshape(-1, 2)
+        if not words:
+            return np.zeros(0)
+        n, m = self.words.counts(words), self.stems.counts([w[:STEM] if len(w) > STEM else "" for w in words])
         if own is not None:
             n[:, own] = np.maximum(n[:, own] - 1, 0)
-        log_chars, _ = self.chars.score(words)
-        with np.errstate(divide="ignore"):
-            own_mass = np.log(np.maximum(n - DISCOUNT, 0))
-        # in logarithms, since a very long word's character probability underflows
-        p = np.logaddexp(own_mass, np.log(DISCOUNT * self.types) + log_chars) - np.log(self.totals)
+            m[:, own] = np.maximum(m[:, own] - (n[:, own] == 0), 0)
+        return self._ratio(n, m)
+
+    def _ratio(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        of_stem = self.stems.probability(m, np.full(m.shape, UNSEEN))
+        p = np.log(self.words.probability(n, of_stem / (m.sum(1, keepdims=True) + 1)))
         return p[:, 1] - p[:, 0]
 
+    @cached_property
+    def known(self) -> dict[str, float]:
+        """The ratio of each word of the model."""
+        words = self.words.names.split("\n") if self.words.names else []
+        m = np.concatenate([self.stems.counts([w[:STEM] if len(w) > STEM else "" for w in words[i : i + 50_000]]) for i in range(0, len(words), 50_000)] or [np.zeros((0, 2))])
+        return dict(zip(words, self._ratio(self.words.numbers.astype(float), m).tolist(), strict=True))
+
+    @cached_property
+    def by_stem(self) -> dict[str, float]:
+        """The ratio of an unseen word of each stem."""
+        m = self.stems.numbers.astype(float)
+        return dict(zip(self.stems.names.split("\n") if self.stems.names else [], self._ratio(np.zeros(m.shape), m).tolist(), strict=True))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "by_stem")}
+
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model = model
 
     def score(self, text: str | None) -> float:
+        return float(self.scores([text])[0][0])
+
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and the length-normalised ratios."""
         m = self.model
-        if m.chars is None:
-            return m.base
-        z = ((self.features(text) - m.scale[0]) / m.scale[1]) @ m.weights[:-1] + m.weights[-1]
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        if m.words is None or not texts:
+            return np.zeros(len(texts)), np.zeros(len(texts))
+        x = np.stack([self.features(t) for t in texts])
+        z = ((x - m.scale[0]) / m.scale[1]) @ m.weights[:-1] + m.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500))), x[:, 3]
 
     def features(self, text: str | None, own: int | None = None) -> np.ndarray:
-        """The largest word ratio, means of the 3 and 8 largest, the ratio by word of the whole text, its log length."""
+        """The largest word ratio, means of the 3 and 5 largest, the ratio by word of the whole text, its log length."""
         seen: Counter = Counter()
         for piece in pieces(text) if text else ():
             seen.update(letter_words(piece))
@@ -96,14 +145,11 @@ class Scorer:
         if own is not None:
             r = self.model.ratios(words, own)
         else:
-            if new := [w for w in words if w not in self.known]:
-                if len(self.known) + len(new) > CACHE_ENTRIES:
-                    self.known, new = {}, words
-                self.known.update(zip(new, self.model.ratios(new).tolist(), strict=True))
-            r = np.array([self.known[w] for w in words])
-        top = np.minimum(np.sort(r)[::-1][:8], CLIP)
+            known, stem = self.model.known.get, self.model.by_stem.get
+            r = np.array([x if (x := known(w)) is not None else stem(w[:STEM], 0.0) if len(w) > STEM else 0.0 for w in words])
+        top = np.clip(np.sort(r)[::-1][:5], 0, CLIP)
         n = np.fromiter(seen.values(), float, len(words))
-        return np.array([top[0], top[:3].sum() / 3, top.sum() / 8, (r * n).sum() / n.sum(), np.log1p(n.sum())])
+        return np.array([top[0], top[:3].sum() / 3, top.sum() / 5, (r * n).sum() / n.sum(), np.log1p(n.sum())])
 
 
 def train(labelled: DataFrame, base: float, fit_rows: int = FIT_ROWS) -> Model:
@@ -118,7 +164,8 @@ def train(labelled: DataFrame, base: float, fit_rows: int = FIT_ROWS) -> Model:
                 for piece in pieces(text):
                     own.update(letter_words(piece))
                 seen.update((w, toxic) for w in own)
-            yield pd.DataFrame({"word": [w for w, _ in seen], "n0": [n * (t == 0) for (_, t), n in seen.items()], "n1": [n * (t == 1) for (_, t), n in seen.items()]})
+            if seen:
+                yield pd.DataFrame({"word": [w for w, _ in seen], "n0": [n * (t == 0) for (_, t), n in seen.items()], "n1": [n * (t == 1) for (_, t), n in seen.items()]})
 
     sample = labelled.where("text is not null and toxic in (0, 1)")
     # one row for each text and label: copies do not count again
@@ -126,32 +173,27 @@ def train(labelled: DataFrame, base: float, fit_rows: int = FIT_ROWS) -> Model:
     once = materialize(once)  # bounded by the sample
     words = once.mapInPandas(words_of, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     words = materialize(words)
-    sizes = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return Model(base)
-    sums = words.agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
-    if not sums[0] or not sums[1]:
-        return Model(base)
-
-    def grams_of(batches):
-        for b in batches:
-            cls, at = np.nonzero(b[["n0", "n1"]].to_numpy().T > 0)
-            names = b["word"].to_list()
-            yield from gram_rows([names[i] for i in at], cls, np.ones(len(at)), ORDER, 2)
-
-    chars = CharModel(2, order=ORDER, shared=2).fit_counts(collected(words.mapInPandas(grams_of, GRAMS), ORDER))
-    # the discount leaves nothing of a word of one document: the character model alone scores it
-    kept = words.where("n0 + n1 > 1").toPandas()
-    listed, numbers = "\n".join(kept["word"]), kept[["n0", "n1"]].to_numpy(np.int32)
-    del kept
-    model = Model(base, chars, listed, numbers, np.array(sums[:2], float), np.array(sums[2:], float))
+
+    def level(counts: DataFrame, name: str) -> Level:
+        # bounded by the sample of labelled rows
+        sums = counts.agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
+        sums = np.array([x or 0 for x in sums], float)
+        kept = counts.where("n0 + n1 > 1").select(name, F.col("n0").cast("int"), F.col("n1").cast("int")).toPandas()
+        return Level("\n".join(kept[name]), kept[["n0", "n1"]].to_numpy(np.int32), sums[:2], sums[2:])
+
+    of_words = level(words, "word")
+    if not of_words.totals.all():
+        return Model()
+    long_ = words.where(F.length("word") > STEM).groupBy(F.substring("word", 1, STEM).alias("stem"))
+    of_stems = level(long_.agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")), "stem")
+    model = Model(of_words, of_stems)
     sent = spark.sparkContext.broadcast(model)
 
     def measure(batches):
         scorer = Scorer(sent.value)
         for b in batches:
-            x = [scorer.features(text, int(t)) for text, t in zip(b["text"], b["toxic"], strict=True)]
-            yield pd.DataFrame({"toxic": b["toxic"], "x": x})
+            if len(b):
+                yield pd.DataFrame({"toxic": b["toxic"], "x": [scorer.features(text, int(t)) for text, t in zip(b["text"], b["toxic"], strict=True)]})
 
     fit = sample_per_class(once, "toxic", "doc_id", fit_rows).select("text", "toxic").mapInPandas(measure, "toxic int, x array<double>").toPandas()
     sent.unpersist()
@@ -182,16 +224,10 @@ def score(docs: DataFrame, model: Model, parts: int = 5, held: int = 0) -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = sent.value
-        scorer = Scorer(m)
+        scorer = Scorer(sent.value)
         for b in batches:
-            if m.chars is None:
-                p, x = np.full(len(b), m.base), np.zeros((len(b), FEATURES))
-            else:
-                x = np.stack([scorer.features(text) for text in b["text"]]) if len(b) else np.zeros((0, FEATURES))
-                z = ((x - m.scale[0]) / m.scale[1]) @ m.weights[:-1] + m.weights[-1]
-                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": p, "predicted": (p >= 0.5).astype(np.int32), "log_ratio": x[:, 3]})
+            p, ratio = scorer.scores(list(b["text"]))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": p, "predicted": (p >= 0.5).astype(np.int32), "log_ratio": ratio})
 
     return docs.select("doc_id", "text", (fold(F.col("doc_id"), parts) == held).alias("held_out")).mapInPandas(run, SCHEMA)
 
@@ -204,7 +240,7 @@ def scorer(model: Model, spark: SparkSession):
     def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s = Scorer(sent.value)
         for texts in batches:
-            yield pd.Series([s.score(t) for t in texts], dtype=float)
+            yield pd.Series(s.scores(list(texts))[0], dtype=float)
 
     return toxicity
 
