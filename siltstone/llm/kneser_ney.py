@@ -105,6 +105,8 @@ class CharModel:
         self.contexts: list[np.ndarray] = [np.zeros(0, np.uint64)]
         self.backoff: list[np.ndarray] = [np.zeros((0, classes), np.float32)]
         self.base = 1.0
+        #: predicted characters counted in each class
+        self.mass = np.zeros(classes)
 
     def fit(self, words: list[str], cls: np.ndarray, weight: np.ndarray) -> CharModel:
         return self.fit_counts(gram_counts(words, cls, weight, self.order, self.classes))
@@ -118,6 +120,7 @@ class CharModel:
             raw = np.bincount(inverse * L + cls, weights=weight, minlength=len(grams) * L).reshape(len(grams), L)
             found.append({"grams": grams, "raw": raw, "context": context[first], "suffix": suffix[first], "anchored": anchored[first]})
         gram = context = suffix = anchored = cls = weight = first = inverse = raw = None  # the largest order's are not needed any more
+        self.mass = found[0]["raw"].sum(0) if found else self.mass
         # one more for the start mark, and one for what is unknown
         self.base = 1.0 / (len(found[0]["grams"]) + 2) if found and len(found[0]["grams"]) else 1.0
         below = None

@@ -1,12 +1,16 @@
 """Operator 1, language identification.
 
 One interpolated Kneser-Ney character model per language, all in shared sorted hash arrays (kneser_ney.py); a text
-gets the language of lowest length-normalised cross-entropy. A temperature fitted on rows kept out of the counts
-turns the cross-entropies into a score, and a threshold on it gives `accepted`.
+gets the language of lowest length-normalised cross-entropy. Rows kept out of the counts calibrate two things: a
+temperature turns the cross-entropies into a score, and a limit on the cross-entropy itself says what text of a
+language looks like: its held-out rows' mean, and a quantile of their deviations, which shrink with the square root
+of a text's characters. A text above its language's limit, or of a low score, is not `accepted`, so foreign scripts
+and gibberish are rejected however sure the choice among the known languages is.
 
 Null text, or one without a letter: `und`, score 0, not accepted. Ties go to the language that sorts first. Repeated
 rows are scored alike, an empty table gives an empty result, and columns beyond doc_id, text and lang are not read.
-Without any training row every text is `und`.
+A language whose training texts give no countable word is never predicted; without any, every text is `und`. Very
+long texts are read in pieces, whole.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ TRAIN_ROWS = 2_000
 CALIBRATE = 8
 #: Scores below give accepted = false.
 REJECT = 0.6
+#: Share of a language's held-out rows that its limit accepts, and the least deviation in nats that it allows a text of one character.
+ACCEPT, LEAST_SPREAD = 0.995, 2.0
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, accepted boolean"
 
 
@@ -36,6 +42,18 @@ class Model:
     langs: list[str]
     chars: CharModel
     temperature: float = 0.1
+    #: mean cross-entropy of each language's own texts, and the deviation allowed times the root of a text's characters
+    usual: np.ndarray | None = None
+    spread: np.ndarray | None = None
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Cross-entropies, infinite for classes without counts."""
+        return np.where(self.chars.mass > 0, x, np.inf)
+
+    def limit(self, best: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if self.usual is None:
+            return np.full(len(best), np.inf)
+        return self.usual[best] + self.spread[best] / np.sqrt(np.maximum(size, 1))
 
 
 class Scorer:
@@ -93,6 +111,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, order: int = 5) -> Model:
                 for text in texts:
                     for piece in pieces(text):
                         seen.update(letter_words(piece))
+                if not seen:
+                    continue
                 words = ["".join(filter(str.isalpha, w)) for w in seen]
                 kept = np.array([w != "" for w in words], bool)
                 weight = np.fromiter(seen.values(), float, len(seen))[kept]
@@ -109,16 +129,33 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, order: int = 5) -> Model:
         for b in batches:
             x, size = scorer.texts(list(b["text"]))
             ok = size > 0
-            yield pd.DataFrame({"lang": b["lang"][ok], "x": list(x[ok])})
+            if ok.any():
+                yield pd.DataFrame({"lang": b["lang"].to_numpy()[ok], "size": size[ok], "x": list(x[ok])})
 
-    held = sample.where("_kept").mapInPandas(measure, "lang string, x array<double>").toPandas()
-    if len(held):
-        x, y = np.stack(held["x"].to_list()), np.array([langs.index(v) for v in held["lang"]])
-        model.temperature = float(min((0.01 * 1.3**k for k in range(25)), key=lambda t: -_log_softmax(-x / t)[np.arange(len(y)), y].mean()))
+    held = sample.where("_kept").mapInPandas(measure, "lang string, size double, x array<double>").toPandas()
     sent.unpersist()
+    y = np.array([langs.index(v) for v in held["lang"]], np.int64)
+    counted = chars.mass[y] > 0 if len(y) else np.zeros(0, bool)
+    if counted.any():
+        x, size, y = np.stack(held["x"].to_list())[counted], held["size"].to_numpy()[counted], y[counted]
+        far = model.distances(x)
+        at = np.arange(len(y))
+        model.temperature = float(min((0.01 * 1.3**k for k in range(25)), key=lambda t: -np.maximum(_log_softmax(-far / t)[at, y], -1e3).mean()))
+        _calibrate(model, x[at, y], size, y)
     return model
 
 
+def _calibrate(model: Model, own: np.ndarray, size: np.ndarray, y: np.ndarray) -> None:
+    """Limits from the cross-entropies of held-out rows under their own languages; a language without such rows gets those of all."""
+    usual, spread = [], []
+    for k in range(len(model.langs)):
+        of = y == k if (y == k).any() else np.ones(len(y), bool)
+        mean = float((own[of] * size[of]).sum() / size[of].sum())
+        usual.append(mean)
+        spread.append(max(LEAST_SPREAD, float(np.quantile((own[of] - mean) * np.sqrt(size[of]), ACCEPT))))
+    model.usual, model.spread = np.array(usual), np.array(spread)
+
+
 def _log_softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(1, keepdims=True)
     return z - np.log(np.exp(z).sum(1, keepdims=True))
@@ -134,12 +171,12 @@ def predict(docs: DataFrame, model: Model, parts: int = 4, held: int = 2, reject
         for b in batches:
             x, size = scorer.texts(list(b["text"])) if m.langs else (np.zeros((len(b), 1)), np.zeros(len(b)))
             ok = size > 0
-            x = np.where(ok[:, None], x, 0)
+            x = m.distances(np.where(ok[:, None], x, 0)) if m.langs else x
             p = np.exp(_log_softmax(-x / m.temperature))
             best = x.argmin(1)
             at = np.arange(len(b))
             score = np.where(ok, np.clip(p[at, best], 0, 1), 0.0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [m.langs[k] if good else "und" for k, good in zip(best, ok, strict=True)], "score": score, "cross_entropy": np.where(ok, x[at, best], np.nan), "accepted": ok & (score >= reject)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [m.langs[k] if good else "und" for k, good in zip(best, ok, strict=True)], "score": score, "cross_entropy": np.where(ok, x[at, best], np.nan), "accepted": ok & (score >= reject) & (x[at, best] <= m.limit(best, size))})
 
     return docs.select("doc_id", "text", (fold(F.col("doc_id"), parts) == held).alias("held_out")).mapInPandas(run, SCHEMA)
 

@@ -68,6 +68,40 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in language_id.predict(train, nothing).collect()} == {"und"}
 
 
+def test_language_without_letters_is_never_predicted(spark):
+    rng = random.Random(11)
+    train = frame(spark, rows([prose(rng, "en", 30) for _ in range(20)] + ["123 456"] * 20, ["en"] * 20 + ["digits"] * 20))
+    model = language_id.train(train)
+    got = language_id.predict(frame(spark, rows([prose(rng, "en", 10), "中文 字", "123"])), model).collect()
+    assert [r.lang_pred for r in sorted(got)] == ["en", "en", "und"]
+    nothing = language_id.train(frame(spark, rows(["1 2", "3"], ["x", "x"])))
+    assert {r.lang_pred for r in language_id.predict(train, nothing).collect()} == {"und"}
+
+
+def test_language_rejects_what_it_has_not_learned(spark):
+    rng = random.Random(12)
+    model = language_id.train(frame(spark, rows([prose(rng, x, 60) for x in ["en", "de"] * 80], ["en", "de"] * 80)))
+    foreign = ["中文字符 是什么 意思 呢", "Ελληνικά γράμματα εδώ", "qzx wvk jjj xqz kkv wjx"]
+    own = [prose(rng, x, 30) for x in ["en", "de"] * 20]
+    got = sorted(language_id.predict(frame(spark, rows(foreign + own)), model).collect())
+    assert not any(r.accepted for r in got[:3]) and sum(r.accepted for r in got[3:]) >= 38
+    assert model.temperature > 0 and np.isfinite(model.usual).all()
+
+
+def test_language_of_very_long_and_repeated_texts(spark):
+    rng = random.Random(13)
+    model = language_id.train(frame(spark, rows([prose(rng, x, 40) for x in ["en", "de"] * 20], ["en", "de"] * 20)))
+    long_ = prose(rng, "de", 120_000)
+    assert len(long_) > 2 * (1 << 18)
+    got = language_id.predict(frame(spark, [*rows([long_]), *rows([long_]), *rows(["the there"])]), model).collect()
+    assert len(got) == 3 and sorted(r.lang_pred for r in got) == ["de", "de", "en"]
+    # by brute force: the sum over all words
+    words_ = language_id.letter_words(long_)
+    s, n = model.chars.score(words_)
+    r = next(r for r in got if r.lang_pred == "de")
+    assert abs(r.cross_entropy - (-s[:, model.langs.index("de")].sum() / n.sum())) < 1e-3
+
+
 def test_language_counts_words_met_once(spark):
     """Beside 120,000 words that repeat, words met once still say what a language looks like."""
     rng = random.Random(10)
@@ -102,15 +136,41 @@ def test_toxicity_of_odd_texts(spark):
 
 
 def test_toxicity_counts_rare_words_at_size(spark):
-    """Rare words of a large sample are in the character model, those of two documents in the word table."""
+    """Rare words of a large sample count through their stems, those of two documents by themselves too."""
     n, m = 3_000, 400
     common = " ".join(f"{'abcdefghij'[j % 10]}{chr(97 + j // 10 % 26)}{'xyz'[j // 260]}" for j in range(m))
     odd = {0: "zqzqvkrud", 2: "zqzqvkrund", 4: "zqzqvkrid", 6: "twice", 8: "twice"}
     texts = [f"{common} {odd.get(i, 'aax')} {'w' + ''.join('abcdefghij'[int(c)] for c in str(i))}" for i in range(n)]
     sample = spark.createDataFrame([(i, t, int(i % 2 == 0)) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
     model = toxicity.train(sample, 0.5, 100)
-    assert model.ratios(["zqzqvkred"])[0] > 1 and model.counts["twice"] == (0, 2)
-    assert model.totals.sum() == sum(len(set(t.split())) for t in texts)
+    # a family of rare words counts for words of it that no training text holds, a word of one document alone does not
+    assert model.ratios(["zqzqvkred"])[0] > 1 and model.words.counts(["twice"]).tolist() == [[0, 2]] and model.ratios(["twice"])[0] > 1
+    assert abs(model.ratios(["unseen"])[0]) < 1e-9
+    assert model.words.totals.sum() == sum(len(set(t.split())) for t in texts)
+
+
+@pytest.mark.parametrize("texts", [[""], ["1 2 3", "..."], ["words", "..."], ["words here", "other words"]])
+def test_toxicity_fits_on_batches_without_letters(spark, texts):
+    docs = frame(spark, rows(texts * 3))
+    for labels in ([0], [1], [0, 1]):
+        m = toxicity.fit(docs, spark.createDataFrame([(i, labels[i % len(labels)]) for i in range(len(texts) * 3)], "doc_id long, toxic int"))
+        got = toxicity.score(docs, m).collect()
+        assert len(got) == len(texts) * 3 and all(0 <= r.score <= 1 for r in got)
+        # one class alone rejects nothing
+        assert len(labels) > 1 or not any(r.predicted for r in got)
+
+
+def test_toxicity_of_very_long_and_repeated_texts(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, "en", 40) + (" scumbag idiotic" if i % 2 else "") for i in range(60)]
+    long_ = prose(rng, "en", 120_000) + " scumbag idiotic scumbagly"
+    assert len(long_) > 2 * (1 << 18)
+    docs = frame(spark, [*rows(texts), *rows([long_]), *rows([texts[0]])])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] * 2, "doc_id long, toxic int")
+    m = toxicity.fit(docs.where("doc_id > 0"), labels)
+    got = [r for r in toxicity.score(docs, m).collect() if r.doc_id == 0]
+    assert len(got) == 3 and len({r.score for r in got}) == 2
+    assert toxicity.Scorer(m).features(long_)[0] > 1
 
 
 # ---- tokens
@@ -130,6 +190,18 @@ def test_token_counts_equal_the_library(spark):
         token_counts.check_vocabulary(["a▁b"])
 
 
+def test_token_counts_of_very_long_and_repeated_texts(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(16)
+    long_ = [prose(rng, "en", 60_000), "x" * 300_000, "\x01" + prose(rng, "de", 2000), prose(rng, "en", 30_000).replace(" ", "\n")]
+    got = token_counts.count_tokens(frame(spark, [*rows(long_), *rows(long_)])).collect()
+    assert len(got) == 8
+    for i, t in enumerate(long_):
+        assert {(r.n_tokens, r.n_bytes) for r in got if r.doc_id == i} == {(len(sp.encode(t)), len(t.encode()))}
+
+
 # ---- packing
 def test_packing_is_whole_and_gapless(spark):
     from tokenizers import Tokenizer
@@ -159,6 +231,32 @@ def test_packing_is_whole_and_gapless(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_of_odd_long_and_repeated_texts(spark):
+    """Ids equal the library's, also beyond plain texts, in texts of several pieces, and where rows repeat."""
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(packing.RANKS))
+    assert encoder.ranks is not None
+    rng = random.Random(15)
+    bits = ["a", "Zeß", " ", " ", "\n", "don't", "é", "'ll", "12", "٣", "½", "²", ",", "—", "…", "中", "\x01", "\u00a0", "\u2028", "x_y", "<|endoftext|>", "Ünï", "  ", "ſ", "ª"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(4000)] + [t for t in ODD if t]
+    for t in texts:
+        assert encoder.ids(t) == np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    long_ = prose(rng, "de", 60_000)
+    got = packing.pack(frame(spark, [*rows([long_, "a b"]), *rows([long_, "other"])])).collect()
+    for i, want in ((0, [long_, long_]), (1, ["a b", "other"])):
+        ids = [np.array([*tk.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in want]
+        own = [r for r in got if r.doc_id == i]
+        assert sum(r.length for r in own) == sum(map(len, ids))
+        assert sorted(r.ids_crc32 for r in own) == sorted(zlib.crc32(x[j : j + 1024].tobytes()) for x in ids for j in range(0, len(x), 1024))
+
+
+def test_plan_puts_a_length_into_the_shortest_pack():
+    # 7 | 6 take packs of their own; 2 goes to the pack of 6, the shortest, though that of 7 would be left fuller
+    assert sorted(packing.plan({7: 1, 6: 1, 2: 1}, 10)) == [(1, [(6, 1), (2, 1)]), (1, [(7, 1)])]
+
+
 def test_plan_places_every_length():
     rng = random.Random(7)
     for _ in range(30):
