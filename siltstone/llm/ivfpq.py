@@ -2,13 +2,14 @@
 
 The index is fitted on a bounded sample of vectors (SAMPLE) on the driver; every vector is assigned and coded.
 Vectors of a list are dealt in blocks of BLOCK rows, so a list that holds a third of all vectors is many tasks.
-Vectors that are null, zero, hold a null or a component that is not finite, or have another number of components
-than most, take no part.
+Vectors that are null, zero, hold a null or a component that is not finite, take no part. Vectors are compared with
+those of as many components; each number of components has an index of its own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -81,8 +82,12 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """The vectors that take part, as doubles in `v`."""
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     ok = vectors.where(F.col(column).isNotNull() & (F.size(column) > 0)).where(finite & F.exists(column, lambda x: x != 0))
-    sizes = ok.groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return ok.where(F.size(column) == F.lit(sizes["n"] if sizes else 0)).withColumn("v", F.col(column).cast("array<double>"))
+    return ok.withColumn("v", F.col(column).cast("array<double>")).withColumn("dims", F.size(column))
+
+
+def by_size(ok: DataFrame) -> list[DataFrame]:
+    """The usable vectors of each number of components (one, as a rule: tables of one model's vectors)."""
+    return [ok.where(F.col("dims") == n) for n in sorted(r[0] for r in ok.select("dims").distinct().collect())]
 
 
 def sample_of(vectors: DataFrame, key: str, rows: int) -> tuple[np.ndarray, int]:
@@ -99,28 +104,49 @@ def stack(column: pd.Series) -> np.ndarray:
 # ---------------------------------------------------------------------------------------------------------------
 # near-duplicates (operator 3)
 
-#: Lists searched for a vector: those that are not further than its own by MARGIN in squared distance, MOST at most.
-MARGIN, MOST = 0.3, 16
+def lists_within(index: Index, x: np.ndarray, radius: np.ndarray, reach: float) -> list[np.ndarray]:
+    """The lists that may hold a vector no further than `reach` from each of x; none is lost.
+
+    Such a vector lies nearer to its own centroid c than to x's nearest one h, so x is at most `reach` beyond the
+    plane between them: |x-c|^2 - |x-h|^2 <= 2 * reach * |c-h|. It is also no further from c than the list's radius.
+    """
+    d = index.distances(x)
+    home = d.argmin(1)
+    between = np.sqrt(np.maximum((index.centroids[home] ** 2).sum(1)[:, None] - 2 * index.centroids[home] @ index.centroids.T + (index.centroids**2).sum(1), 0))
+    near = d - d[np.arange(len(x)), home][:, None] <= 2 * reach * between + 1e-6
+    near &= np.sqrt(d) <= radius + reach + 1e-6
+    return [np.flatnonzero(n) for n in near]
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id") -> DataFrame:
     """Links of vectors with cosine >= least. Returns key, n_links, component_id, kept.
 
-    Equal vectors are one class first, so that copies cost one row. A class is sought in its own list and near ones;
-    a code's distance is let pass if the exact one may be small enough (the code's own error is known, so none is
-    lost there), then the cosine is computed in double precision. A pair counts for both vectors, whichever of them
-    sought the other's list. Blocks return counts and a spanning forest of their links, not the pairs.
+    Equal vectors are one class first, so that copies cost one row. A class is sought in every list that may hold a
+    link (`lists_within`), and a code's distance is let pass if the exact one may be small enough (the code's own
+    error is known), so no link is lost; then the cosine is computed in double precision. Blocks return counts and a
+    spanning forest of their links, not the pairs.
 
     Vectors that take no part have 0 links and are their own component, as are rows with a null key. Repeated rows
-    of a key count as copies. Ties: the component is the smallest key. An empty table gives an empty result.
+    of a key count as copies. Ties: the component is the smallest key. An empty table gives an empty result; columns
+    beyond the key and `embedding` are not read.
     """
-    spark = vectors.sparkSession
     ok = usable(vectors.where(F.col(key).isNotNull()))
-    classes = materialize(ok.groupBy("v").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("mult")))
-    sample, n = sample_of(classes.withColumnRenamed("rep", key), key, SAMPLE)
+    # equal vectors by a digest of 128 bits, so that no shuffle but the first carries them
+    ok = ok.select(key, "v", "dims", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v", F.lit(7)).alias("h2"))
+    found = [_links(part, least, key) for part in by_size(ok)]
     out = vectors.select(key)
-    if n == 0:
+    if not found:
         return out.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
+    of_rows = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    component = F.coalesce("component_id", key)
+    return out.join(of_rows, key, "left").select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col(key) == component).alias("kept"))
+
+
+def _links(ok: DataFrame, least: float, key: str) -> DataFrame:
+    """ok: usable vectors of one size. key, n_links, component_id of every row."""
+    spark = ok.sparkSession
+    classes = materialize(ok.groupBy("h1", "h2").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("mult"), F.any_value("v").alias("v")))
+    sample, n = sample_of(classes.withColumnRenamed("rep", key), key, SAMPLE)
     sample = sample if len(sample) else stack(classes.limit(100).toPandas()["v"])
     index = fit(sample / np.linalg.norm(sample, axis=1)[:, None], int(np.clip(4 * np.sqrt(n), 1, 2048)))
     sent = spark.sparkContext.broadcast(index)
@@ -135,33 +161,40 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id"
             d = ix.distances(x)
             home = d.argmin(1)
             codes, left = ix.encode(x, home)
-            near = np.argsort(d, axis=1, kind="stable")[:, :MOST]
-            ok = np.take_along_axis(d, near, 1) <= d.min(1)[:, None] + MARGIN
-            yield pd.DataFrame({"rep": b["rep"], "mult": b["mult"], "x": list(x), "home": home, "code": [c.tobytes() for c in codes], "err": left, "probes": [p[o] for p, o in zip(near, ok, strict=True)]})
-
-    coded = materialize(classes.mapInPandas(assign, "rep long, mult long, x array<double>, home int, code binary, err double, probes array<int>"))
-    # at most 2048 rows each: rows of a list, and rows that seek it
-    held = {r[0]: r[1] for r in coded.groupBy("home").count().collect()}
-    sought = {r[0]: r[1] for r in coded.select(F.explode("probes").alias("l")).groupBy("l").count().collect()}
+            yield pd.DataFrame({"rep": b["rep"], "mult": b["mult"], "x": list(x), "home": home, "code": [c.tobytes() for c in codes], "err": left, "away": np.sqrt(d.min(1))})
+
+    coded = materialize(classes.select("rep", "mult", "v").mapInPandas(assign, "rep long, mult long, x array<double>, home int, code binary, err double, away double"))
+    # at most 2048 rows: rows of a list, and its radius
+    held, radius = {}, np.full(len(index.centroids), -np.inf)
+    for r in coded.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect():
+        held[r["home"]], radius[r["home"]] = r["n"], r["r"]
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
+
+    def ask_lists(batches):
+        ix = sent.value
+        for b in batches:
+            if len(b):
+                x = stack(b["x"])
+                probes = [p for lo in range(0, len(x), STEP) for p in lists_within(ix, x[lo : lo + STEP], radius, reach)]
+                yield pd.DataFrame({"rep": b["rep"], "mult": b["mult"], "x": b["x"], "probes": probes})
+
+    asked = materialize(coded.select("rep", "mult", "x").mapInPandas(ask_lists, "rep long, mult long, x array<double>, probes array<int>"))
+    sought = {r[0]: r[1] for r in asked.select(F.explode("probes").alias("l")).groupBy("l").count().collect()}
     blocks = spark.createDataFrame([(int(k), int(-(-v // BLOCK)), int(-(-sought.get(k, 0) // BLOCK))) for k, v in held.items()], "list int, nd int, nq int")
-    blocks = F.broadcast(blocks)
+    blocks = F.broadcast(blocks)  # at most 2048 rows
     pick = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    again = coded.select(*[F.col(c).alias(c) for c in coded.columns])  # columns of its own, for the cogroup of a table with itself
-    db = again.withColumnRenamed("home", "list").join(blocks, "list").withColumn("d", pick("nd", 1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.greatest(F.col("nq"), F.lit(1)) - 1))).drop("nd", "nq")
-    ask = coded.select("rep", "mult", "x", "home", F.explode("probes").alias("list")).join(blocks, "list").withColumn("q", pick("nq", 2)).withColumn("d", F.explode(F.sequence(F.lit(0), F.greatest(F.col("nd"), F.lit(1)) - 1))).drop("nd", "nq")
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
+    db = coded.select("rep", "mult", "x", "code", "err", F.col("home").alias("list")).join(blocks, "list").withColumn("d", pick("nd", 1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.greatest(F.col("nq"), F.lit(1)) - 1))).drop("nd", "nq")
+    ask = asked.select("rep", "x", F.explode("probes").alias("list")).join(blocks, "list").withColumn("q", pick("nq", 2)).withColumn("d", F.explode(F.sequence(F.lit(0), F.greatest(F.col("nd"), F.lit(1)) - 1))).drop("nd", "nq")
 
     def seek(key_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ix = sent.value
-        nothing = pd.DataFrame({"rep": [], "n": [], "other": []})
         if not len(a) or not len(b):
-            return nothing
-        qx, qid, qm, qh = stack(a["x"]), a["rep"].to_numpy(), a["mult"].to_numpy(), a["home"].to_numpy()
+            return pd.DataFrame({"rep": [], "n": [], "other": []})
+        qx, qid = stack(a["x"]), a["rep"].to_numpy()
         dx, did, dm = stack(b["x"]), b["rep"].to_numpy(), b["mult"].to_numpy()
         codes = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
         far = ((reach + b["err"].to_numpy() + 1e-4) ** 2).astype(np.float32)
-        seeks = [set(p) for p in b["probes"]]
-        forth, back = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        links = np.zeros(len(a), np.int64)
         top: dict[int, int] = {}
 
         def root(v: int) -> int:
@@ -174,33 +207,26 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id"
         for lo in range(0, len(a), STEP):
             i, j = np.nonzero(ix.asymmetric(qx[lo : lo + STEP], int(key_[0]), codes) <= far[None, :])
             i += lo
-            ok = qid[i] != did[j]
-            i, j = i[ok], j[ok]
+            other = qid[i] != did[j]
+            i, j = i[other], j[other]
             for s in range(0, len(i), 200_000):
                 a_, b_ = i[s : s + 200_000], j[s : s + 200_000]
                 near = np.einsum("ij,ij->i", qx[a_], dx[b_]) >= least
                 a_, b_ = a_[near], b_[near]
-                np.add.at(forth, a_, dm[b_])
-                homes = {int(h) for h in qh[a_]}
-                blind = {h: np.array([h not in p for p in seeks]) for h in homes}
-                one_way = np.array([blind[int(h)][y] for h, y in zip(qh[a_], b_, strict=True)], bool) if len(a_) else np.zeros(0, bool)
-                np.add.at(back, b_[one_way], qm[a_[one_way]])
-                # a row's first link to each root says enough
-                for p, r in set(zip(qid[a_].tolist(), did[b_].tolist(), strict=True)):
+                np.add.at(links, a_, dm[b_])
+                for p, r in zip(qid[a_].tolist(), did[b_].tolist(), strict=True):
                     if (u := root(p)) != (w := root(r)):
                         top[max(u, w)] = min(u, w)
                         edges.append((p, r))
-        counts = [(int(k), int(v), None) for k, v in zip(qid, forth, strict=True) if v] + [(int(k), int(v), None) for k, v in zip(did, back, strict=True) if v]
+        counts = [(int(k), int(v), None) for k, v in zip(qid, links, strict=True) if v]
         return pd.DataFrame(counts + [(p, 0, r) for p, r in edges], columns=["rep", "n", "other"]).astype({"other": "Int64"})
 
     found = materialize(ask.groupBy("list", "d", "q").cogroup(db.groupBy("list", "d", "q")).applyInPandas(seek, "rep long, n long, other long"))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comps = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
-    per = classes.join(links, "rep", "left").join(comps, "rep", "left")
-    per = per.select("v", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    of_rows = ok.select(key, "v").join(per, "v").select(key, "n_links", "component_id").groupBy(key).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    component = F.coalesce("component_id", key)
-    return out.join(of_rows, key, "left").select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col(key) == component).alias("kept"))
+    per = classes.select("h1", "h2", "rep", "mult").join(links, "rep", "left").join(comps, "rep", "left")
+    per = per.select("h1", "h2", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    return ok.select(key, "h1", "h2").join(per, ["h1", "h2"]).select(key, "n_links", "component_id")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -230,7 +256,12 @@ def candidates(index: Index, q: np.ndarray, qid: np.ndarray, home: int, codes: n
     slack = 1e-5 * np.where(np.isfinite(est), est, 0).max(1) + 1e-6 * np.sqrt((q**2).sum(1))
     other = qid[:, None] != did[None, :]
     most = np.where(other, est + err, np.inf)
-    bound = np.partition(most, k - 1, axis=1)[:, k - 1] if k < len(did) else np.full(len(q), np.inf)
+    # the k smallest of as many keys: rows that repeat a key count once
+    order = np.argsort(did, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(did[order]) != 0))
+    if len(starts) < len(did):
+        most = np.minimum.reduceat(most[:, order], starts, axis=1)
+    bound = np.partition(most, k - 1, axis=1)[:, k - 1] if k < len(starts) else np.full(len(q), np.inf)
     ok = other & (est <= (bound + 2 * slack)[:, None] + err)
     return [np.flatnonzero(o) for o in ok]
 
@@ -238,22 +269,32 @@ def candidates(index: Index, q: np.ndarray, qid: np.ndarray, home: int, codes: n
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id") -> DataFrame:
     """The k nearest of each vector whose key is divisible by `every`, by Euclidean distance. query_id, rank, vec_id, score.
 
-    Queries seek as many lists as a sample says they need, and further ones until k others are in them; they take every code of a block whose exact distance may be among
-    the k smallest there (the code's own error is known, so none is lost, copies and near copies neither), and rank by
-    exact distances in double precision; ties go to the smaller key. Repeated keys are vectors of their own as
-    candidates, but never their own query's. With fewer than k candidates all are returned; an empty table, or one
-    without queries, gives an empty result.
+    Queries seek as many lists as a sample says they need, and further ones until k others are in them; they take
+    every code of a block whose exact distance may be among the k smallest there (the code's own error is known, so
+    none is lost, copies and near copies neither), and rank by exact distances in double precision; ties go to the
+    smaller key. A key is met once: rows that repeat a query's key ask once, with the smallest of their vectors, and
+    are none of its candidates; of rows that repeat a candidate's key the nearest counts. Candidates have as many
+    components as the query. With fewer than k candidates all are returned; an empty table, or one without queries,
+    gives an empty result; columns beyond the key and `embedding` are not read.
     """
-    spark = vectors.sparkSession
-    ok = materialize(usable(vectors.where(F.col(key).isNotNull())).select(key, "v"))
-    sample, n = sample_of(ok, key, SAMPLE)
+    ok = materialize(usable(vectors.where(F.col(key).isNotNull())).select(key, "v", "dims"))
+    found = [_neighbours(part, every, k, key) for part in by_size(ok)]
+    if not found:
+        return ok.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # rows that repeat a key may lie in several lists, and be of several sizes
+    best = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _neighbours(ok: DataFrame, every: int, k: int, key: str) -> DataFrame:
+    """ok: usable vectors of one size. query_id, vec_id, score: the k nearest of each query in each block of a list that it seeks."""
+    spark = ok.sparkSession
     schema = "query_id long, vec_id long, score double"
-    if n == 0:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0)).select("query_id", "rank", "vec_id", "score")
+    sample, n = sample_of(ok, key, SAMPLE)
     sample = sample if len(sample) > 1 else stack(ok.limit(100).toPandas()["v"])
     index = fit(sample, int(np.clip(np.sqrt(n) / 2, 1, 2048)))
-    # a small table is sought whole
-    probes = len(index.centroids) if n < 2000 else probes_for(index, sample, k)
+    probes = probes_for(index, sample, k)
     sent = spark.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -283,9 +324,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
     rows_in = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
     blocks = F.broadcast(spark.createDataFrame([(i, -(-c // BLOCK)) for i, c in sizes.items()], "list int, nd int"))
     queries = ok.where(F.pmod(key, F.lit(every)) == 0)
-    # rows of a query's own key are none of its candidates
-    own = queries.groupBy(key).agg(F.count(F.lit(1)).alias("own"))
-    queries = queries.join(own, key).mapInPandas(ask, f"{key} long, v array<double>, probes array<int>")
+    # rows of a query's own key are none of its candidates, and ask once
+    queries = queries.groupBy(key).agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own")).mapInPandas(ask, f"{key} long, v array<double>, probes array<int>")
     # queries are 1 / every of the rows: those of one list are dealt over blocks of them too
     per_list = max(1, -(-n // every // BLOCK))
     db = coded.join(blocks, "list").withColumn("d", F.pmod(F.xxhash64(F.lit(1), key), F.col("nd")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(per_list - 1)))).drop("nd")
@@ -300,13 +340,13 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
             for lo in range(0, len(a), STEP):
                 for i, cand in enumerate(candidates(sent.value, qx[lo : lo + STEP], qid[lo : lo + STEP], int(key_[0]), codes, err, did, k)):
                     d = np.sqrt(((dx[cand] - qx[lo + i]) ** 2).sum(1))
-                    top = np.lexsort((did[cand], d))[:k]
+                    top = np.lexsort((did[cand], d))
+                    # the nearest row of each key
+                    top = top[np.sort(np.unique(did[cand][top], return_index=True)[1])][:k]
                     out.extend(zip([qid[lo + i]] * len(top), did[cand][top], d[top], strict=True))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = seek.groupBy("list", "d", "q").cogroup(db.groupBy("list", "d", "q")).applyInPandas(search, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return seek.groupBy("list", "d", "q").cogroup(db.groupBy("list", "d", "q")).applyInPandas(search, schema)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
