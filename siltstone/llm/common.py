@@ -31,6 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_row_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row for each key: of rows that repeat it the one with the longest text, of equally long ones the last in order.
+
+    Keys are counted first, without the texts; only rows of repeated keys, if there are any, are dealt by their key.
+    Rows with a null key stay as they are.
+    """
+    again = materialize(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+    if again.isEmpty():
+        return docs
+    rank = F.struct(F.coalesce(F.length(text), F.lit(-1)), *[F.col(c) for c, t in docs.dtypes if c != key and not t.startswith("map")])
+    some = docs.join(again, key, "left_semi").groupBy(key).agg(F.max_by(F.struct(*docs.columns), rank).alias("_row")).select("_row.*")
+    return docs.join(again, key, "left_anti").select(*docs.columns).unionByName(some)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text, modulo parts."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)

@@ -9,26 +9,30 @@
 3. Chains: the matches of two documents are chained in order of both positions, with a cost for the words that
    a link leaps over, by a Fenwick tree over the second position.
 4. Alignment: chains are extended word by word at both ends while matches outweigh differences, and gaps between
-   anchors are aligned; chains of low identity go.
-5. Passages: what chains cover of a document is united; stretches of at least `min_words` words remain, with all the
-   documents that they were found in. Each document but the first that holds a passage gets a row for it.
-
-Null, empty and short texts have no passages. Copies of a whole text of min_words words or more are passages.
-Repetition inside one document alone is none. Rows that repeat a doc_id count as one document with the longest text
-of them. Among equal candidates the smaller (doc_id, position) is the earlier one. An empty table gives an empty
-result; columns beyond doc_id and text are not read. Words are [^\\x20\\x09-\\x0D]+, A-Z lower-cased.
+   anchors are aligned; chains of low identity go. A chain whose extension reaches the end of the words that were
+   sent with it is aligned again with ten times as many, until the texts end.
+5. Passages: what the chains of one other document cover is united; stretches of at least `min_words` words remain,
+   and those of all other documents are united then. Each document but the first that holds a passage gets a row for
+   it. source_doc_ids are the earlier documents that it was found in, not all of its holders.
+
+Null, empty and short texts, and rows with a null doc_id, have no passages. Copies of a whole text of min_words words
+or more are passages. Repetition inside one document alone is none. Rows that repeat a doc_id count as one document
+with the longest text of them, of equally long ones the last in order; text_hash tells which. Among equal candidates
+the smaller (doc_id, position) is the earlier one. An empty table gives an empty result; columns beyond doc_id and
+text are not read. Words are [^\\x20\\x09-\\x0D]+, A-Z lower-cased.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, table
+from siltstone.llm.common import materialize, one_row_each, table
 from siltstone.llm.shingles import shingles, word_hashes
 
 K = 5
@@ -40,7 +44,7 @@ MIN_SPAN, MIN_CHAIN = 10, 20
 MIN_IDENTITY = 0.8
 #: A link of a chain costs this for each word that it leaps over, on both sides; a run of anchors earns its words.
 GAP_COST = 0.1
-#: Words on both sides of a chain that extension may look at for each word of the least passage.
+#: Words on both sides of a chain that are sent along for its extension at first.
 REACH = 200
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -216,16 +220,17 @@ def chains_of(matches: DataFrame) -> DataFrame:
     return near.mapInPandas(run, "doc long, odoc long, ps array<int>, qs array<int>")
 
 
-def extend(x: np.ndarray, y: np.ndarray) -> int:
-    """Words of x and y, compared from their starts, up to the best score of matches (1) and differences (-2)."""
+def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, bool]:
+    """Words of x and y, compared from their starts, up to the best score of matches (1) and differences (-2), and whether one of them ended before the score was lost."""
     n = min(len(x), len(y))
     if not n:
-        return 0
+        return 0, True
     score = np.cumsum(np.where(x[:n] == y[:n], 1, -2))
     low = np.flatnonzero(score < np.maximum.accumulate(score) - 12)
+    ended = not len(low)
     score = score[: low[0]] if len(low) else score
     best = int(score.argmax()) if len(score) else 0
-    return best + 1 if len(score) and score[best] > 0 else 0
+    return best + 1 if len(score) and score[best] > 0 else 0, ended
 
 
 def matched(x: np.ndarray, y: np.ndarray) -> int:
@@ -239,8 +244,8 @@ def matched(x: np.ndarray, y: np.ndarray) -> int:
     return int(best[-1])
 
 
-def align(x: np.ndarray, x0: int, y: np.ndarray, y0: int, ps: np.ndarray, qs: np.ndarray) -> tuple[int, int, int, int, float]:
-    """start, end, other start, other end in words and the identity of a chain; x and y begin at words x0 and y0."""
+def align(x: np.ndarray, x0: int, y: np.ndarray, y0: int, ps: np.ndarray, qs: np.ndarray) -> tuple[int, int, int, int, float, set[str]]:
+    """start, end, other start, other end in words and the identity of a chain, and which of x and y ended before their extension to the left (<) or right (>); they begin at words x0 and y0."""
     ps, qs = ps - x0, qs - y0
     good, p, q = 0, int(ps[0]), int(qs[0])
     for a, b in zip(ps.tolist(), qs.tolist(), strict=True):
@@ -248,52 +253,96 @@ def align(x: np.ndarray, x0: int, y: np.ndarray, y0: int, ps: np.ndarray, qs: np
             good += matched(x[p : max(a, p)], y[q : max(b, q)])
         good += max(0, min(a + K - max(a, p), b + K - max(b, q)))
         p, q = max(p, a + K), max(q, b + K)
-    left = extend(x[: ps[0]][::-1], y[: qs[0]][::-1])
-    right = extend(x[p:], y[q:])
+    left, ended = extend(x[: ps[0]][::-1], y[: qs[0]][::-1])
+    short = {"<x"} if ended and ps[0] <= qs[0] else set()
+    short |= {"<y"} if ended and qs[0] <= ps[0] else set()
+    right, ended = extend(x[p:], y[q:])
+    short |= {">x"} if ended and len(x) - p <= len(y) - q else set()
+    short |= {">y"} if ended and len(y) - q <= len(x) - p else set()
     s, e, t, f = int(ps[0]) - left, p + right, int(qs[0]) - left, q + right
     good += int((x[s : ps[0]] == y[t : qs[0]]).sum() + (x[p:e] == y[q:f]).sum())
-    return s + x0, e + x0, t + y0, f + y0, good / max(e - s, f - t)
+    return s + x0, e + x0, t + y0, f + y0, good / max(e - s, f - t), short
 
 
-def _window(chain: DataFrame, texts: DataFrame, key: str, anchors: str, name: str, then=None, schema: str | None = None) -> DataFrame:
-    """Adds the hashes of a chain's words and of REACH words on both sides, and where they start; `then` turns such batches into what is returned."""
+def _window(chain: DataFrame, texts: DataFrame, key: str, anchors: str, name: str, reach: int, then=None, schema: str | None = None) -> DataFrame:
+    """Adds the hashes of a chain's words and of `reach` words on both sides, where they start, and whether the text goes on; `then` turns such batches into what is returned."""
 
     def run(batches):
         last, words = None, None
         for b in batches:
-            out, starts = [], []
+            out, starts, more = [], [], []
             for k, text, at in zip(b[key], b["text"], b[anchors], strict=True):
                 if k != last:
                     last, words = k, word_hashes([text])[0].view(np.int64)
-                lo = max(0, int(at[0]) - REACH)
-                out.append(words[lo : int(at[-1]) + K + REACH])
+                lo, hi = max(0, int(at[0]) - reach), int(at[-1]) + K + reach
+                out.append(words[lo:hi])
                 starts.append(lo)
+                more.append(hi < len(words))
             b = b.drop(columns=["text"])
-            b[name], b[name + "0"] = out, starts
+            b[name], b[name + "0"], b[name + "1"] = out, starts, more
             yield then(b) if then else b
 
     joined = chain.join(texts.withColumnRenamed("doc_id", key), key)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chain.schema if f.name != key)
-    return joined.select(key, *[c for c in chain.columns if c != key], "text").mapInPandas(run, schema or f"{key} long, {fields}, {name} array<bigint>, {name}0 int")
+    return joined.select(key, *[c for c in chain.columns if c != key], "text").mapInPandas(run, schema or f"{key} long, {fields}, {name} array<bigint>, {name}0 int, {name}1 boolean")
+
+
+ALIGNED = "doc_id long, s int, e int, odoc long, same double, ps array<int>, qs array<int>"
 
 
 def aligned(b: pd.DataFrame, identity: float) -> pd.DataFrame:
-    """The chains of a batch that are like enough, in words of both documents."""
+    """The chains of a batch that are like enough, in words of both documents; with their anchors those that need more words than were sent."""
     out = []
-    for doc, odoc, ps, qs, x, x0, y, y0 in zip(b["doc"], b["odoc"], b["ps"], b["qs"], b["x"], b["x0"], b["y"], b["y0"], strict=True):
-        s, e, _, _, same = align(np.asarray(x), x0, np.asarray(y), y0, np.asarray(ps), np.asarray(qs))
-        if e - s >= MIN_CHAIN and same >= identity:
-            out.append((doc, s, e, odoc, same))
-    return pd.DataFrame(out, columns=["doc_id", "s", "e", "odoc", "same"])
+    for doc, odoc, ps, qs, x, x0, x1, y, y0, y1 in zip(b["doc"], b["odoc"], b["ps"], b["qs"], b["x"], b["x0"], b["x1"], b["y"], b["y0"], b["y1"], strict=True):
+        s, e, _, _, same, short = align(np.asarray(x), x0, np.asarray(y), y0, np.asarray(ps), np.asarray(qs))
+        # a text that ended is at its end, or goes on beyond the words that were sent; where both do, the first one counts
+        again = "<" in {z[0] for z in short} and not ("<x" in short and not x0 or "<y" in short and not y0)
+        again |= ">" in {z[0] for z in short} and not (">x" in short and not x1 or ">y" in short and not y1)
+        if again or e - s >= MIN_CHAIN and same >= identity:
+            out.append((doc, s, e, odoc, same, ps if again else None, qs if again else None))
+    return pd.DataFrame(out, columns=["doc_id", "s", "e", "odoc", "same", "ps", "qs"])
+
+
+def alignments(chain: DataFrame, texts: DataFrame, identity: float) -> DataFrame:
+    """doc_id, s, e, odoc, same of all chains that are like enough, extended as far as they go."""
+    reach, done = REACH, []
+    while True:
+        sent = _window(chain, texts, "doc", "ps", "x", reach)
+        near = materialize(_window(sent, texts, "odoc", "qs", "y", reach, lambda b: aligned(b, identity), ALIGNED))
+        done.append(near.where("ps is null").select("doc_id", "s", "e", "odoc", "same"))
+        chain = near.where("ps is not null").select(F.col("doc_id").alias("doc"), "odoc", "ps", "qs")
+        if chain.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        reach *= 10
+
+
+def stretches(chains_: list[tuple[int, int, int, float]], min_words: int) -> list[tuple[int, int, float, list[int]]]:
+    """(start, end, identity, other documents) of passages of one document from its chains (start, end, other document, identity)."""
+    long_: list[list] = []
+    for s, e, odoc, same in sorted(chains_, key=lambda c: (c[2], c[0], c[1])):
+        if long_ and long_[-1][2] == odoc and s <= long_[-1][1] + 2:
+            long_[-1][1] = max(long_[-1][1], e)
+            long_[-1][3].append((e - s, same))
+        else:
+            long_.append([s, e, odoc, [(e - s, same)]])
+    out: list[list] = []
+    for s, e, odoc, w in sorted((x for x in long_ if x[1] - x[0] >= min_words), key=lambda x: x[:3]):
+        if out and s <= out[-1][1] + 2:
+            out[-1][1] = max(out[-1][1], e)
+            out[-1][2] += w
+            out[-1][3].add(odoc)
+        else:
+            out.append([s, e, list(w), {odoc}])
+    return [(s, e, sum(n * x for n, x in w) / sum(n for n, _ in w), sorted(o)) for s, e, w, o in out]
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = MIN_IDENTITY) -> DataFrame:
-    """docs: doc_id and text are read. doc_id, start_word, end_word, n_words, identity, source_doc_ids."""
+    """docs: doc_id and text are read. doc_id, start_word, end_word, n_words, identity, source_doc_ids, text_hash."""
+    docs = one_row_each(docs.select("doc_id", "text").where("doc_id is not null"))
     chain = materialize(chains_of(matches_of(docs)))
     wanted = chain.select(F.col("doc").alias("doc_id")).union(chain.select("odoc")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.length("text")).alias("text"))
-    texts = materialize(texts)
-    near = _window(_window(chain, texts, "doc", "ps", "x"), texts, "odoc", "qs", "y", lambda b: aligned(b, identity), "doc_id long, s int, e int, odoc long, same double")
+    texts = materialize(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"))
+    near = alignments(chain, texts, identity)
 
     def unite(batches):
         held = None
@@ -306,19 +355,15 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = MIN_
             yield united(held)
 
     def united(b: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for doc, s, e, odoc, same in zip(b["doc_id"].tolist(), b["s"].tolist(), b["e"].tolist(), b["odoc"].tolist(), b["same"].tolist(), strict=True):
-            if out and out[-1][0] == doc and s <= out[-1][2] + 2:
-                out[-1][2] = max(out[-1][2], e)
-                out[-1][4].append((e - s, same))
-                out[-1][5].add(odoc)
-            else:
-                out.append([doc, s, e, 0, [(e - s, same)], {odoc}])
-        rows = [(d, s, e, e - s, sum(n * x for n, x in w) / sum(n for n, _ in w), sorted(o)) for d, s, e, _, w, o in out if e - s >= min_words]
+        rows = []
+        for doc, own in b.groupby("doc_id"):
+            found = stretches(list(zip(own["s"].tolist(), own["e"].tolist(), own["odoc"].tolist(), own["same"].tolist(), strict=True)), min_words)
+            rows += [(doc, s, e, e - s, same, others) for s, e, same, others in found]
         return pd.DataFrame(rows, columns=["doc_id", "start_word", "end_word", "n_words", "identity", "source_doc_ids"])
 
-    ordered = near.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "s", "e", "odoc")
-    return ordered.mapInPandas(unite, "doc_id long, start_word int, end_word int, n_words int, identity double, source_doc_ids array<long>")
+    ordered = near.repartition(F.col("doc_id")).sortWithinPartitions("doc_id")
+    found = ordered.mapInPandas(unite, "doc_id long, start_word int, end_word int, n_words int, identity double, source_doc_ids array<long>")
+    return found.join(texts.select("doc_id", F.xxhash64("text").alias("text_hash")), "doc_id")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -333,14 +378,18 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the found passages cut from the texts, n_chars renewed there; a document that is left without a word goes."""
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
+    """docs with the found passages cut from the texts, n_chars renewed there; a document that is left without a word goes.
+
+    Of rows that repeat a doc_id those are cut that hold the text in which the passages were found.
+    """
+    spans = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
 
     @F.pandas_udf("string")
     def shorter(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else cut(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    out = docs.join(spans, "doc_id", "left")
+    here = spans.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_spans")
+    out = docs.join(here, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
     kept = out.where("_spans is null").select(*docs.columns)
     less = out.where("_spans is not null").withColumn("text", shorter("text", "_spans"))
     if "n_chars" in docs.columns:
