@@ -14,7 +14,8 @@ blocks within one component; a block returns a spanning forest of the links it f
 within a bucket is lost, and with 32 bands a pair at the threshold misses all buckets with probability 3e-7.
 
 Null text and text without words: empty set, n_shingles 0, linked with nothing, its own component. Rows that repeat
-a doc_id are one document. Ties and copies: the component is the smallest doc_id. An empty table gives an empty
+a doc_id are one document, with the longest text of them (of equally long ones the last in order), and give one row;
+rows with a null doc_id are linked with nothing, and their component is null. Very long texts are read whole. Ties and copies: the component is the smallest doc_id. An empty table gives an empty
 result; columns beyond doc_id and text are not read.
 """
 
@@ -28,13 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, mix64, table
+from siltstone.llm.common import materialize, mix64, one_row_each, table
 from siltstone.llm.graph import components
 from siltstone.llm.shingles import shingles, word_hashes
 
 REGISTERS, MANTISSA = 256, 10
 BANDS, ROWS = 32, 6
 BLOCK = 512
+#: Rows of a bucket that are joined in one part, about.
+PART = 1024
 _PROBES = (mix64(np.arange(REGISTERS * 128, dtype=np.uint64) + np.uint64(991)) % np.uint64(REGISTERS)).astype(np.int64).reshape(REGISTERS, 128)
 
 
@@ -104,6 +107,8 @@ def sets_of(docs: DataFrame, k: int, with_sets: bool) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 3, least: int = 85) -> DataFrame:
     """docs: doc_id and text are read. Returns doc_id, n_shingles, component_id, kept."""
+    nameless = docs.where("doc_id is null").select("doc_id", "text")
+    docs = one_row_each(docs.where("doc_id is not null").select("doc_id", "text"))
     sketches = materialize(sets_of(docs, k, False))
     classes = sketches.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = materialize(classes)
@@ -144,7 +149,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, least: int = 85) -> DataFrame:
     likely = materialize(likely)
 
     wanted = likely.select("rep").union(likely.select("pivot")).union(members.where("members > 2").select("rep")).distinct()
-    sets = materialize(sets_of(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k, True))
+    sets = materialize(sets_of(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), k, True))
     common = F.size(F.array_intersect("s1", "s2"))
     links = (
         likely.join(sets.select(F.col("doc_id").alias("rep"), F.col("set").alias("s1")), "rep")
@@ -157,16 +162,22 @@ def near_duplicates(docs: DataFrame, k: int = 3, least: int = 85) -> DataFrame:
     # buckets whose members but the pivot are not all of one component: what the stars leave open; the pivot's
     # component gathers them, since any two classes of a bucket share its pivot
     label = found.withColumnRenamed("node", "rep")
-    open_ = members.where("members > 2").join(label, "rep", "left").select("key", "rep", (F.col("rep") == F.col("pivot")).alias("first"), F.coalesce("component", "rep").alias("label"))
+    # a bucket's rows are dealt over parts of about PART rows, so that a large one is no single task
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    open_ = members.where("members > 2").join(label, "rep", "left").select("key", "rep", "members", (F.col("rep") == F.col("pivot")).alias("first"), F.coalesce("component", "rep").alias("label"))
     other = F.when(~F.col("first"), F.col("label"))
-    mixed = open_.groupBy("key").agg(F.min(other).alias("lo"), F.max(other).alias("hi"), F.max(F.when(F.col("first"), F.col("label"))).alias("cluster")).where("lo <> hi").select("key", "cluster")
-    open_ = materialize(open_.where("not first").join(mixed, "key").select("cluster", "rep", "label").distinct())
+    mixed = open_.groupBy("key").agg(F.min(other).alias("lo"), F.max(other).alias("hi"), F.max(F.when(F.col("first"), F.col("label"))).alias("cluster"), F.first("members").alias("members")).where("lo <> hi")
+    mixed = mixed.select("key", "cluster", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    open_ = open_.where("not first").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    open_ = materialize(open_.join(mixed, ["key", "part"]).select("cluster", "rep", "label").distinct())
     more = in_blocks(open_, sets, least)
     final = found if more.isEmpty() else materialize(components(links.unionByName(more)))
     named = classes.select("set_key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    alone = sets_of(nameless, k, False).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def in_blocks(open_: DataFrame, sets: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
