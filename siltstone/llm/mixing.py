@@ -33,8 +33,8 @@ MOST = 3
 BUCKET_ROWS = 4096
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
+def sized(docs: DataFrame, text: str = "text", into: str = "size") -> DataFrame:
+    return docs.withColumn(into, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -89,14 +89,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFram
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: each document once for each pass that takes words of it, whole, range-sorted by training position; docs' columns."""
-    sizes = mix(sized(docs).select("doc_id", "source", "size"), weights, most).where("taken > 0").groupBy("doc_id").agg(F.first("passes").alias("passes"))
-    placed = docs.join(sizes, "doc_id").withColumn("_at", F.explode("passes"))
-    return placed.orderBy("_at", "doc_id").select(*docs.columns)
+    own = sized(docs.select("doc_id", "source", "text"), into="_size").select("doc_id", "source", F.col("_size").alias("size"))
+    # rows that repeat a doc_id and its size take part alike
+    sizes = mix(own, weights, most).where("taken > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("size").alias("_own")).agg(F.min("passes").alias("_passes"))
+    out = sized(docs, into="_size")
+    placed = out.join(sizes, out["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_size") == F.col("_own"))).withColumn("_at", F.explode("_passes"))
+    return placed.orderBy("_at", docs["doc_id"]).select(*[docs[c] for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size")
-    return mix(docs).orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 OP2_SQL = r"""
@@ -114,7 +117,7 @@ l AS (
           / (CAST(sum(w) OVER () AS DOUBLE) - coalesce(sum(w) OVER o, 0)) AS level
   FROM w WINDOW o AS (ORDER BY cap / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, CASE (n - 1) % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.25 END::DOUBLE AS start,
          least(CAST(cap AS DOUBLE), w * max(level) OVER ()) AS target
   FROM l),
 c AS (
@@ -123,6 +126,8 @@ c AS (
 SELECT doc_id, size, source_size, target,
        CAST(greatest(0, least(f + size, floor(target)) - f)
           + greatest(0, least(f + size + source_size, floor(target)) - f - source_size)
-          + greatest(0, least(f + size + 2 * source_size, floor(target)) - f - 2 * source_size) AS BIGINT) AS taken
-FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+          + greatest(0, least(f + size + 2 * source_size, floor(target)) - f - 2 * source_size) AS BIGINT) AS taken,
+       CASE WHEN start = 1 THEN x ELSE (-start + sqrt(start * start + 4 * (1 - start) * x)) / (2 * greatest(1 - start, 1e-9::DOUBLE)) END AS position
+FROM (SELECT *, least(1.0::DOUBLE, (f + CAST(size AS DOUBLE) / 2) / greatest(target, 1e-9::DOUBLE)) AS x
+FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
 """

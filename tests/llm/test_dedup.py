@@ -82,6 +82,19 @@ def test_minhash_finds_links_that_stars_miss(spark):
     assert set(got.values()) == {0}
 
 
+def test_minhash_of_repeated_rows_ties_and_null_ids(spark):
+    rng = random.Random(23)
+    a, b = prose(rng, "en", 60), prose(rng, "en", 60)
+    long_ = prose(rng, "de", 60_000)
+    assert len(long_) > 1 << 18
+    data = [*rows([a, b, a, long_, None]), *rows(["short", None, None, long_ + " more", "x"]), (None, a, None, None, 1, "x", "y", "z", 1), (7, long_, None, None, 1, "x", "y", "z", 1)]
+    got = minhash.near_duplicates(frame(spark, data)).collect()
+    by = {r.doc_id: r for r in got}
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [0, 1, 2, 3, 4, 7] and len(got) == 7
+    assert by[2].component_id == 0 and by[7].component_id == 3 and not by[2].kept and by[0].kept and by[1].kept
+    assert by[0].n_shingles == 58 and by[4].n_shingles == 1 and by[None].component_id is None and by[None].kept
+
+
 def test_minhash_equals_its_sql(spark, sf):
     same(minhash.op10_minhash(spark, sf), minhash.OP10_SQL, sf)
 
@@ -174,6 +187,33 @@ def test_passages_of_lines_with_other_owners(spark, lines, n):
     assert all(d in got and got[d].n_words == lines * n and d - 1 in got[d].source_doc_ids for d in want)
 
 
+def test_passages_need_one_source(spark):
+    """Less than min_words of each of four documents make no passage, though they follow each other."""
+    rng = random.Random(21)
+    parts = [prose(rng, "en", 22) for _ in range(4)]
+    texts = [prose(rng, "de", 40) + " " + p + " " + prose(rng, "de", 40) for p in parts] + [" ".join(parts)]
+    assert substring_dedup.passages(frame(spark, rows(texts))).count() == 0
+
+
+def test_passages_of_repeated_ids_and_long_matches(spark, monkeypatch):
+    rng = random.Random(22)
+    long_ = prose(rng, "en", 900)
+    words_ = long_.split()
+    # earlier owners of stretches of 45 words, so that the long match has anchors at both ends alone
+    owners = [prose(rng, "de", 30) + " " + " ".join(words_[i : i + 45]) + " " + prose(rng, "de", 30) for i in range(60, 840, 40)]
+    texts = [*owners, long_, prose(rng, "de", 20) + " " + long_]
+    monkeypatch.setattr(substring_dedup, "REACH", 7)
+    got = substring_dedup.passages(frame(spark, rows(texts))).collect()
+    last = [r for r in got if r.doc_id == len(texts) - 1]
+    assert [(r.start_word, r.end_word) for r in last] == [(20, 920)] and len(texts) - 2 in last[0].source_doc_ids
+    # a doc_id with a long and a short row: the long one counts, and is cut
+    docs = frame(spark, [*rows(["a b c", long_ + " tail words", prose(rng, "de", 90)]), *rows([long_]), (None, long_, None, None, 1, "x", "y", "z", 1)])
+    found = substring_dedup.passages(docs)
+    assert [(r.doc_id, r.n_words) for r in found.collect()] == [(1, 900)]
+    left = {(r.doc_id, r.text) for r in substring_dedup.without_passages(docs, found).collect()}
+    assert left == {(0, "a b c"), (0, long_), (1, "tail words"), (2, docs.where("doc_id = 2").first().text), (None, long_)}
+
+
 def test_cutting_leaves_the_rest(spark):
     rng = random.Random(4)
     p = prose(rng, "en", 70)
