@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import graph, html_extract, ivfpq, minhash, substring_dedup
+from siltstone.llm import graph, html_extract, ivfpq, minhash, page_layouts, substring_dedup
 from siltstone.llm.shingles import shingles, word_hashes
 from tests.compare import same
 from tests.llm.helpers import DOCS, ODD, frame, prose, rows, words
@@ -249,6 +249,42 @@ def test_page_text():
     assert html_extract.main_text(deep) == "deep text in here"
 
 
+def test_main_text_of_layouts_that_were_not_fitted():
+    """Against the labels of generated pages: what a brute-force reading of their words gives."""
+    right = wrong = missed = whole = 0
+    for html, is_text in page_layouts.labelled_pages(seed=77, pages=200):
+        blocks = html_extract.blocks_of(html)[0]
+        want = " ".join(b.text for b in blocks if is_text(b.text))
+        got = html_extract.main_text(html)
+        whole += got == want
+        n = len(set(got.split()) & set(want.split()))
+        right, wrong, missed = right + n, wrong + len(set(got.split())) - n, missed + len(set(want.split())) - n
+    assert wrong < 0.02 * right and missed < 0.02 * right and whole > 120
+
+
+def test_main_text_of_hard_pages():
+    long = "This paragraph says something of some length about a subject that people read, and it ends here."
+    assert html_extract.main_text(f"<html><head><title>t</title><meta charset=x><body><p>{long}</p><p>{long}</p>") == f"{long} {long}"
+    assert html_extract.main_text(f"<html><head><title>t</title><p>{long}</p>") == long
+    form = f"<body><form action='/x'><div><nav><a href=/>home page</a></nav><h1>A heading of it</h1>" + f"<p>{long}</p>" * 5 + "</div></form>"
+    assert html_extract.main_text(form) == " ".join(["A heading of it", *[long] * 5])
+    assert html_extract.main_text("<body><div class='social-history'>" + f"<p>{long}</p>" * 5 + "</div>") == " ".join([long] * 5)
+    assert html_extract.main_text(f"<body><div><p>{long}</p><p>Only three words.</p><p>{long}</p></div>") == f"{long} Only three words. {long}"
+    assert html_extract.main_text(f"<article><p>{long}</p><div class='comments'><p>{long} No.</p></div><p hidden>{long}</p></article>") == long
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        start = time.process_time()
+        text = html_extract.main_text("<article>" + "".join(f"<div>word{i} some text" for i in range(n)))
+        took.append(time.process_time() - start)
+        assert text.count("word") == n
+    assert took[1] < 12 * max(took[0], 0.05)
+
+
 def test_min_cut_by_brute_force():
     rng = random.Random(6)
     for _ in range(60):
