@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,13 +65,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it again. Lost executors cost nothing of it."""
+_scratch: list[list[str]] = []
+
+
+def materialize(df: DataFrame, outlives: bool = False) -> DataFrame:
+    """Cuts the lineage: writes df as Parquet into the shared folder and reads it again. Lost executors cost nothing of it.
+
+    The files go when the session ends, or with the `scratch` block that they were written in, unless they outlive it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scratch and not outlives:
+        _scratch[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siltstone_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialized inside is deleted at the end; results have to be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _remove(spark, path)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that is not needed any more; other tables are left alone."""
+    if path := getattr(df, "_siltstone_path", None):
+        _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
