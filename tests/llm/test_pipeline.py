@@ -1,8 +1,10 @@
+import os
 import random
 
 import corpus_pipeline
 from siltstone.llm import toxicity
-from tests.llm.helpers import frame, prose, rows, words
+from siltstone.session import materialize, release, scratch
+from tests.llm.helpers import ODD, frame, prose, rows, words
 
 
 def test_stages_are_five_and_in_order():
@@ -48,3 +50,34 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     for r in last:
         total[r.sequence_id] = total.get(r.sequence_id, 0) + r.length
     assert max(total.values()) <= 1024
+
+
+def test_stages_on_odd_repeated_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing names and an empty table, through every stage one after another."""
+    rng = random.Random(2)
+    long_ = prose(rng, "en", 120)
+    texts = [*ODD, long_, prose(rng, "en", 80)]
+    data = [*rows(texts), *rows([*ODD[:4], "another text of the same id"]), (len(ODD) + 1, long_ + " tail", None, "s", 1, "x", "y", "z", 1), (None, long_, None, None, 1, "x", "y", "z", 1), (None, None, None, None, None, None, None, None, None)]
+    spark.createDataFrame([(i, 1, i % 2) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (frame(spark, data), frame(spark, data).limit(0)):
+        n, columns = docs.count(), docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = materialize(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == columns
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert (len(last) > 0) == (n > 0)
+    # one row for each repeated id after the near-dedup, the longest
+    kept = corpus_pipeline.minhash_dedup(spark, frame(spark, data), str(tmp_path)).collect()
+    ids = [r.doc_id for r in kept if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and next(r.text for r in kept if r.doc_id == 4) == "another text of the same id"
+    assert sum(r.doc_id is None for r in kept) == 2
+
+
+def test_stage_files_are_deleted(spark):
+    with scratch(spark):
+        gone = materialize(spark.range(3))
+        stays = materialize(spark.range(4), outlives=True)
+    assert stays.count() == 4 and not os.path.exists(gone._siltstone_path)
+    release(stays)
+    assert not os.path.exists(stays._siltstone_path)
+    release(spark.range(1))
