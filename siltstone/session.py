@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -93,6 +94,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         for path in _scratch.pop():
             _remove(spark, path)
+        tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it does after a collection on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def release(df: DataFrame) -> None:
