@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system, since idle workers share an executor's memory with its heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
+def trimmed(run):
+    """A function of batches, for mapInPandas, that trims its worker when its task is done."""
+
+    def outer(batches):
+        yield from run(batches)
+        trim()
+
+    return outer
+
+
 def one_row_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row for each key: of rows that repeat it the one with the longest text, of equally long ones the last in order.
 

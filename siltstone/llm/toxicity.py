@@ -21,14 +21,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from siltstone.llm.common import fold, letter_words, materialize, pieces, sample_per_class, table
+from siltstone.llm.common import fold, letter_words, materialize, pieces, sample_per_class, table, trim, trimmed
 
 #: Labelled training rows of each class at most, in expectation (a documented bound of the classifier's sample).
 TRAIN_ROWS = 16_000
@@ -48,25 +48,34 @@ FEATURES = 5
 CLIP = 20.0
 
 
+def hashed(names: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, names), np.uint64, len(names))
+
+
+def stems_of(words: list[str]) -> list[str]:
+    """Stems, the empty one for words that have none."""
+    return [w[:STEM] if len(w) > STEM else "" for w in words]
+
+
 @dataclass
 class Level:
-    """Counts by class of words, or of stems; those that occur once in all count as unseen and are not held."""
+    """Counts by class of words, or of stems, in a sorted hash array; those that occur once in all count as unseen and are not held."""
 
-    names: str = ""  # one a line: the driver holds no object for each
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     numbers: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int32))
     totals: np.ndarray = field(default_factory=lambda: np.ones(2))
     kinds: np.ndarray = field(default_factory=lambda: np.ones(2))
 
-    @cached_property
-    def index(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self.names.split("\n"))} if self.names else {}
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "index"}
+    def find(self, names: list[str]) -> np.ndarray:
+        """Where each name is, or -1."""
+        if not len(self.hashes) or not names:
+            return np.full(len(names), -1)
+        h = hashed(names)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
 
     def counts(self, names: list[str]) -> np.ndarray:
-        get = self.index.get
-        at = np.array([get(w, -1) for w in names], np.int64)
+        at = self.find(names)
         return np.where(at[:, None] >= 0, self.numbers[at], 0).astype(float) if len(self.numbers) else np.zeros((len(names), 2))
 
     def probability(self, n: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -85,38 +94,32 @@ class Model:
     stems: Level = field(default_factory=Level)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
     scale: tuple = (np.zeros(FEATURES), np.ones(FEATURES))
+    #: the ratio of each word held, and of an unseen word of each stem held
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    by_stem: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
     def ratios(self, words: list[str], own: int | None = None) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary); own: the class that a scored training row added to."""
         if not words:
             return np.zeros(0)
-        n, m = self.words.counts(words), self.stems.counts([w[:STEM] if len(w) > STEM else "" for w in words])
-        if own is not None:
-            n[:, own] = np.maximum(n[:, own] - 1, 0)
-            m[:, own] = np.maximum(m[:, own] - (n[:, own] == 0), 0)
-        return self._ratio(n, m)
-
-    def _ratio(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        if own is None:
+            at = self.words.find(words)
+            out = np.where(at >= 0, self.known[at] if len(self.known) else 0, 0).astype(float)
+            if len(new := np.flatnonzero(at < 0)) and len(self.by_stem):
+                stem = self.stems.find([words[i][:STEM] if len(words[i]) > STEM else "" for i in new.tolist()])
+                out[new] = np.where(stem >= 0, self.by_stem[stem], 0)
+            return out
+        n, m = self.words.counts(words), self.stems.counts(stems_of(words))
+        n[:, own] = np.maximum(n[:, own] - 1, 0)
+        m[:, own] = np.maximum(m[:, own] - (n[:, own] == 0), 0)
+        return self.ratio(n, m)
+
+    def ratio(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Of words with counts n whose stems have counts m."""
         of_stem = self.stems.probability(m, np.full(m.shape, UNSEEN))
         p = np.log(self.words.probability(n, of_stem / (m.sum(1, keepdims=True) + 1)))
         return p[:, 1] - p[:, 0]
 
-    @cached_property
-    def known(self) -> dict[str, float]:
-        """The ratio of each word of the model."""
-        words = self.words.names.split("\n") if self.words.names else []
-        m = np.concatenate([self.stems.counts([w[:STEM] if len(w) > STEM else "" for w in words[i : i + 50_000]]) for i in range(0, len(words), 50_000)] or [np.zeros((0, 2))])
-        return dict(zip(words, self._ratio(self.words.numbers.astype(float), m).tolist(), strict=True))
-
-    @cached_property
-    def by_stem(self) -> dict[str, float]:
-        """The ratio of an unseen word of each stem."""
-        m = self.stems.numbers.astype(float)
-        return dict(zip(self.stems.names.split("\n") if self.stems.names else [], self._ratio(np.zeros(m.shape), m).tolist(), strict=True))
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "by_stem")}
-
 
 class Scorer:
     def __init__(self, model: Model):
@@ -142,11 +145,7 @@ class Scorer:
         words = list(seen)
         if not words:
             return np.zeros(FEATURES)
-        if own is not None:
-            r = self.model.ratios(words, own)
-        else:
-            known, stem = self.model.known.get, self.model.by_stem.get
-            r = np.array([x if (x := known(w)) is not None else stem(w[:STEM], 0.0) if len(w) > STEM else 0.0 for w in words])
+        r = self.model.ratios(words, own)
         top = np.clip(np.sort(r)[::-1][:5], 0, CLIP)
         n = np.fromiter(seen.values(), float, len(words))
         return np.array([top[0], top[:3].sum() / 3, top.sum() / 5, (r * n).sum() / n.sum(), np.log1p(n.sum())])
@@ -171,22 +170,27 @@ def train(labelled: DataFrame, base: float, fit_rows: int = FIT_ROWS) -> Model:
     # one row for each text and label: copies do not count again
     once = sample.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m"), "toxic").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
     once = materialize(once)  # bounded by the sample
-    words = once.mapInPandas(words_of, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    words = once.mapInPandas(trimmed(words_of), "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     words = materialize(words)
 
-    def level(counts: DataFrame, name: str) -> Level:
+    def level(counts: DataFrame, name: str) -> tuple[Level, list[str]]:
         # bounded by the sample of labelled rows
         sums = counts.agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
         sums = np.array([x or 0 for x in sums], float)
         kept = counts.where("n0 + n1 > 1").select(name, F.col("n0").cast("int"), F.col("n1").cast("int")).toPandas()
-        return Level("\n".join(kept[name]), kept[["n0", "n1"]].to_numpy(np.int32), sums[:2], sums[2:])
+        names = kept[name].tolist()
+        order = np.argsort(h := hashed(names))
+        return Level(h[order], kept[["n0", "n1"]].to_numpy(np.int32)[order], sums[:2], sums[2:]), [names[i] for i in order.tolist()]
 
-    of_words = level(words, "word")
+    of_words, names = level(words, "word")
     if not of_words.totals.all():
         return Model()
     long_ = words.where(F.length("word") > STEM).groupBy(F.substring("word", 1, STEM).alias("stem"))
-    of_stems = level(long_.agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")), "stem")
+    of_stems, _ = level(long_.agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")), "stem")
     model = Model(of_words, of_stems)
+    model.known = model.ratio(of_words.numbers.astype(float), of_stems.counts(stems_of(names))).astype(np.float32)
+    model.by_stem = model.ratio(np.zeros(of_stems.numbers.shape), of_stems.numbers.astype(float)).astype(np.float32)
+    del names
     sent = spark.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -195,7 +199,7 @@ def train(labelled: DataFrame, base: float, fit_rows: int = FIT_ROWS) -> Model:
             if len(b):
                 yield pd.DataFrame({"toxic": b["toxic"], "x": [scorer.features(text, int(t)) for text, t in zip(b["text"], b["toxic"], strict=True)]})
 
-    fit = sample_per_class(once, "toxic", "doc_id", fit_rows).select("text", "toxic").mapInPandas(measure, "toxic int, x array<double>").toPandas()
+    fit = sample_per_class(once, "toxic", "doc_id", fit_rows).select("text", "toxic").mapInPandas(trimmed(measure), "toxic int, x array<double>").toPandas()
     sent.unpersist()
     x, y = np.stack(fit["x"].to_list()), fit["toxic"].to_numpy(float)
     model.scale = (x.mean(0), x.std(0) + 1e-9)
@@ -229,7 +233,7 @@ def score(docs: DataFrame, model: Model, parts: int = 5, held: int = 0) -> DataF
             p, ratio = scorer.scores(list(b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": p, "predicted": (p >= 0.5).astype(np.int32), "log_ratio": ratio})
 
-    return docs.select("doc_id", "text", (fold(F.col("doc_id"), parts) == held).alias("held_out")).mapInPandas(run, SCHEMA)
+    return docs.select("doc_id", "text", (fold(F.col("doc_id"), parts) == held).alias("held_out")).mapInPandas(trimmed(run), SCHEMA)
 
 
 def scorer(model: Model, spark: SparkSession):
@@ -241,6 +245,8 @@ def scorer(model: Model, spark: SparkSession):
         s = Scorer(sent.value)
         for texts in batches:
             yield pd.Series(s.scores(list(texts))[0], dtype=float)
+        del s
+        trim()
 
     return toxicity
 
