@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, mix64, one_row_each, table
+from siltstone.llm.common import materialize, mix64, one_row_each, table, trimmed
 from siltstone.llm.graph import components
 from siltstone.llm.shingles import shingles, word_hashes
 
@@ -102,7 +102,7 @@ def sets_of(docs: DataFrame, k: int, with_sets: bool) -> DataFrame:
                     yield pd.DataFrame({"doc_id": ids, "n_shingles": [len(s) for s in sets], "set_key": [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], "registers": [sketch(s).tobytes() if len(s) else None for s in sets]})
 
     schema = "doc_id long, set array<long>" if with_sets else "doc_id long, n_shingles long, set_key binary, registers binary"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(trimmed(run), schema)
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, least: int = 85) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 7, fuzzy passages that repeat across documents, by collinear chaining of shared k-mer seeds.
 
 1. Seeds: every word 5-mer of a text, so that edited passages keep their anchors. They are dealt by ranges of their
-   hash, many in one row.
+   hash, many in one row, as 53 bits (two different 5-mers that meet by chance are a lone anchor, which no chain keeps).
 2. Matches: every occurrence of a seed is joined with one earlier occurrence in another document, never with all of
    them: first within its batch of documents, where the earliest occurrence stands for the others, then, for those
    earliest ones alone, across the corpus. So a seed that a third of all documents hold is combined before the
@@ -32,8 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, one_row_each, table
+from siltstone.llm.common import materialize, one_row_each, table, trimmed
 from siltstone.llm.shingles import shingles, word_hashes
+from siltstone.session import tidy
 
 K = 5
 #: Ranges of seeds, each handled at once: some 2 million seeds in one at 30 GB of text.
@@ -44,6 +45,8 @@ MIN_SPAN, MIN_CHAIN = 10, 20
 MIN_IDENTITY = 0.8
 #: A link of a chain costs this for each word that it leaps over, on both sides; a run of anchors earns its words.
 GAP_COST = 0.1
+#: Chains whose documents' ids are few enough to be broadcast.
+FEW = 200_000
 #: Words on both sides of a chain that are sent along for its extension at first.
 REACH = 200
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,6 +76,17 @@ def _unpack(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def _pack_seeds(x: np.ndarray) -> bytes:
+    """The 40 bits of sorted seeds below those of their range."""
+    return np.ascontiguousarray((x >> np.uint64(64 - RANGE_BITS - 40)).view(np.uint8).reshape(len(x), 8)[:, :5].T).tobytes()
+
+
+def _unpack_seeds(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(5, -1).T
+    return out.view(np.uint64).ravel()
+
+
 def local_matches(ids: np.ndarray, words: list[np.ndarray]) -> pd.DataFrame:
     """The earliest occurrence of each seed of a batch (a row for each range of seeds), and matches within it (ranges below 0)."""
     got = [seeds_of(w) for w in words]
@@ -85,7 +99,7 @@ def local_matches(ids: np.ndarray, words: list[np.ndarray]) -> pd.DataFrame:
     s, d, p = seed[first], doc[first], pos[first]
     part = (s >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
-    rows = [(int(part[i]), _pack(s[i:j]), _pack(d[i:j]), _pack(p[i:j]), None) for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+    rows = [(int(part[i]), _pack_seeds(s[i:j]), _pack(d[i:j]), _pack(p[i:j]), None) for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
     for i in range(0, len(a), 20_000):
         x, y = a[i : i + 20_000], b[i : i + 20_000]
         rows.append((-1 - int(seed[x[0]] % np.uint64(1 << RANGE_BITS)), _pack(doc[y]), _pack(doc[x]), _pack(pos[x]), _pack(pos[y])))
@@ -117,15 +131,15 @@ def matches_of(docs: DataFrame) -> DataFrame:
             yield merged(held)
 
     def merged(held: list[tuple]) -> pd.DataFrame:
-        seed, doc, pos = (np.concatenate([_unpack(h[i], kind) for h in held]) for i, kind in enumerate((np.uint64, np.int64, np.int32)))
+        seed, doc, pos = (np.concatenate([get(h[i]) for h in held]) for i, get in enumerate((_unpack_seeds, lambda b: _unpack(b, np.int64), lambda b: _unpack(b, np.int32))))
         order = np.lexsort((pos, doc, seed))
         seed, doc, pos = seed[order], doc[order], pos[order]
         _, a, b = linked(seed, doc)
         return pd.DataFrame({"doc": doc[a], "pos": pos[a], "odoc": doc[b], "opos": pos[b]})
 
-    rows = docs.select("doc_id", "text").where("text is not null").mapInPandas(local, "part int, key binary, doc binary, pos binary, opos binary")
+    rows = docs.select("doc_id", "text").where("text is not null").mapInPandas(trimmed(local), "part int, key binary, doc binary, pos binary, opos binary")
     rows = rows.repartition(F.col("part")).sortWithinPartitions("part")
-    return rows.mapInPandas(across, "doc long, pos int, odoc long, opos int")
+    return rows.mapInPandas(trimmed(across), "doc long, pos int, odoc long, opos int")
 
 
 class Fenwick:
@@ -217,7 +231,7 @@ def chains_of(matches: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["doc", "odoc", "ps", "qs"])
 
     near = matches.repartition(F.col("doc"), F.col("odoc")).sortWithinPartitions("doc", "odoc", "pos", "opos")
-    return near.mapInPandas(run, "doc long, odoc long, ps array<int>, qs array<int>")
+    return near.mapInPandas(trimmed(run), "doc long, odoc long, ps array<int>, qs array<int>")
 
 
 def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, bool]:
@@ -284,7 +298,7 @@ def _window(chain: DataFrame, texts: DataFrame, key: str, anchors: str, name: st
 
     joined = chain.join(texts.withColumnRenamed("doc_id", key), key)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chain.schema if f.name != key)
-    return joined.select(key, *[c for c in chain.columns if c != key], "text").mapInPandas(run, schema or f"{key} long, {fields}, {name} array<bigint>, {name}0 int, {name}1 boolean")
+    return joined.select(key, *[c for c in chain.columns if c != key], "text").mapInPandas(trimmed(run), schema or f"{key} long, {fields}, {name} array<bigint>, {name}0 int, {name}1 boolean")
 
 
 ALIGNED = "doc_id long, s int, e int, odoc long, same double, ps array<int>, qs array<int>"
@@ -311,8 +325,11 @@ def alignments(chain: DataFrame, texts: DataFrame, identity: float) -> DataFrame
         near = materialize(_window(sent, texts, "odoc", "qs", "y", reach, lambda b: aligned(b, identity), ALIGNED))
         done.append(near.where("ps is null").select("doc_id", "s", "e", "odoc", "same"))
         chain = near.where("ps is not null").select(F.col("doc_id").alias("doc"), "odoc", "ps", "qs")
-        if chain.isEmpty():
+        n = chain.count()
+        if not n:
             return reduce(DataFrame.unionByName, done)
+        if n <= FEW:  # their texts alone are dealt; else the joins sort it out
+            texts = materialize(texts.join(F.broadcast(chain.select("doc").union(chain.select("odoc")).distinct().withColumnRenamed("doc", "doc_id")), "doc_id", "left_semi"))
         reach *= 10
 
 
@@ -340,6 +357,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = MIN_
     """docs: doc_id and text are read. doc_id, start_word, end_word, n_words, identity, source_doc_ids, text_hash."""
     docs = one_row_each(docs.select("doc_id", "text").where("doc_id is not null"))
     chain = materialize(chains_of(matches_of(docs)))
+    tidy(docs.sparkSession)  # of the seeds' shuffles
     wanted = chain.select(F.col("doc").alias("doc_id")).union(chain.select("odoc")).distinct()
     texts = materialize(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"))
     near = alignments(chain, texts, identity)
@@ -362,7 +380,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = MIN_
         return pd.DataFrame(rows, columns=["doc_id", "start_word", "end_word", "n_words", "identity", "source_doc_ids"])
 
     ordered = near.repartition(F.col("doc_id")).sortWithinPartitions("doc_id")
-    found = ordered.mapInPandas(unite, "doc_id long, start_word int, end_word int, n_words int, identity double, source_doc_ids array<long>")
+    found = ordered.mapInPandas(trimmed(unite), "doc_id long, start_word int, end_word int, n_words int, identity double, source_doc_ids array<long>")
     return found.join(texts.select("doc_id", F.xxhash64("text").alias("text_hash")), "doc_id")
 
 
