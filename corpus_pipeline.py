@@ -37,20 +37,24 @@ TOXIC = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = fit(docs, table(spark, sf_dir, "labels"))
+    with scratch(spark):
+        model = fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(scorer(model, spark)(F.col("text")) < TOXIC)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = one_row_each(docs)
-    gone = near_duplicates(docs, k=5, least=80).where("not kept").select("doc_id")
+    with scratch(spark):
+        gone = materialize(near_duplicates(docs, k=5, least=80).where("not kept").select("doc_id"), outlives=True)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return without_passages(docs, passages(docs))
+    with scratch(spark):
+        found = materialize(passages(docs), outlives=True)
+    return without_passages(docs, found)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
