@@ -104,27 +104,18 @@ def stack(column: pd.Series) -> np.ndarray:
 # ---------------------------------------------------------------------------------------------------------------
 # near-duplicates (operator 3)
 
-def lists_within(index: Index, x: np.ndarray, radius: np.ndarray, reach: float) -> list[np.ndarray]:
-    """The lists that may hold a vector no further than `reach` from each of x; none is lost.
-
-    Such a vector lies nearer to its own centroid c than to x's nearest one h, so x is at most `reach` beyond the
-    plane between them: |x-c|^2 - |x-h|^2 <= 2 * reach * |c-h|. It is also no further from c than the list's radius.
-    """
-    d = index.distances(x)
-    home = d.argmin(1)
-    between = np.sqrt(np.maximum((index.centroids[home] ** 2).sum(1)[:, None] - 2 * index.centroids[home] @ index.centroids.T + (index.centroids**2).sum(1), 0))
-    near = d - d[np.arange(len(x)), home][:, None] <= 2 * reach * between + 1e-6
-    near &= np.sqrt(d) <= radius + reach + 1e-6
-    return [np.flatnonzero(n) for n in near]
+#: Lists searched for a vector: those that are not further than its own by MARGIN in squared distance, MOST at most.
+MARGIN, MOST = 0.3, 16
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id") -> DataFrame:
     """Links of vectors with cosine >= least. Returns key, n_links, component_id, kept.
 
-    Equal vectors are one class first, so that copies cost one row. A class is sought in every list that may hold a
-    link (`lists_within`), and a code's distance is let pass if the exact one may be small enough (the code's own
-    error is known), so no link is lost; then the cosine is computed in double precision. Blocks return counts and a
-    spanning forest of their links, not the pairs.
+    Equal vectors are one class first, so that copies cost one row. A class is sought in its own list and near ones
+    (MARGIN, MOST): a link is missed only where neither end seeks the other's list. A code's distance is let pass if
+    the exact one may be small enough (the code's own error is known, so none is lost there), then the cosine is
+    computed in double precision. A pair counts for both vectors, whichever of them sought the other's list. Blocks
+    return counts and a spanning forest of their links, not the pairs.
 
     Vectors that take no part have 0 links and are their own component, as are rows with a null key. Repeated rows
     of a key count as copies. Ties: the component is the smallest key. An empty table gives an empty result; columns
@@ -161,40 +152,33 @@ def _links(ok: DataFrame, least: float, key: str) -> DataFrame:
             d = ix.distances(x)
             home = d.argmin(1)
             codes, left = ix.encode(x, home)
-            yield pd.DataFrame({"rep": b["rep"], "mult": b["mult"], "x": list(x), "home": home, "code": [c.tobytes() for c in codes], "err": left, "away": np.sqrt(d.min(1))})
-
-    coded = materialize(classes.select("rep", "mult", "v").mapInPandas(assign, "rep long, mult long, x array<double>, home int, code binary, err double, away double"))
-    # at most 2048 rows: rows of a list, and its radius
-    held, radius = {}, np.full(len(index.centroids), -np.inf)
-    for r in coded.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect():
-        held[r["home"]], radius[r["home"]] = r["n"], r["r"]
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
-
-    def ask_lists(batches):
-        ix = sent.value
-        for b in batches:
-            if len(b):
-                x = stack(b["x"])
-                probes = [p for lo in range(0, len(x), STEP) for p in lists_within(ix, x[lo : lo + STEP], radius, reach)]
-                yield pd.DataFrame({"rep": b["rep"], "mult": b["mult"], "x": b["x"], "probes": probes})
-
-    asked = materialize(coded.select("rep", "mult", "x").mapInPandas(ask_lists, "rep long, mult long, x array<double>, probes array<int>"))
-    sought = {r[0]: r[1] for r in asked.select(F.explode("probes").alias("l")).groupBy("l").count().collect()}
+            near = np.argsort(d, axis=1, kind="stable")[:, :MOST]
+            ok = np.take_along_axis(d, near, 1) <= d.min(1)[:, None] + MARGIN
+            yield pd.DataFrame({"rep": b["rep"], "mult": b["mult"], "x": list(x), "home": home, "code": [c.tobytes() for c in codes], "err": left, "probes": [p[o] for p, o in zip(near, ok, strict=True)]})
+
+    coded = materialize(classes.select("rep", "mult", "v").mapInPandas(assign, "rep long, mult long, x array<double>, home int, code binary, err double, probes array<int>"))
+    # at most 2048 rows each: rows of a list, and rows that seek it
+    held = {r[0]: r[1] for r in coded.groupBy("home").count().collect()}
+    sought = {r[0]: r[1] for r in coded.select(F.explode("probes").alias("l")).groupBy("l").count().collect()}
     blocks = spark.createDataFrame([(int(k), int(-(-v // BLOCK)), int(-(-sought.get(k, 0) // BLOCK))) for k, v in held.items()], "list int, nd int, nq int")
-    blocks = F.broadcast(blocks)  # at most 2048 rows
+    blocks = F.broadcast(blocks)
     pick = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    db = coded.select("rep", "mult", "x", "code", "err", F.col("home").alias("list")).join(blocks, "list").withColumn("d", pick("nd", 1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.greatest(F.col("nq"), F.lit(1)) - 1))).drop("nd", "nq")
-    ask = asked.select("rep", "x", F.explode("probes").alias("list")).join(blocks, "list").withColumn("q", pick("nq", 2)).withColumn("d", F.explode(F.sequence(F.lit(0), F.greatest(F.col("nd"), F.lit(1)) - 1))).drop("nd", "nq")
+    again = coded.select(*[F.col(c).alias(c) for c in coded.columns])  # columns of its own, for the cogroup of a table with itself
+    db = again.withColumnRenamed("home", "list").join(blocks, "list").withColumn("d", pick("nd", 1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.greatest(F.col("nq"), F.lit(1)) - 1))).drop("nd", "nq")
+    ask = coded.select("rep", "mult", "x", "home", F.explode("probes").alias("list")).join(blocks, "list").withColumn("q", pick("nq", 2)).withColumn("d", F.explode(F.sequence(F.lit(0), F.greatest(F.col("nd"), F.lit(1)) - 1))).drop("nd", "nq")
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
 
     def seek(key_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ix = sent.value
+        nothing = pd.DataFrame({"rep": [], "n": [], "other": []})
         if not len(a) or not len(b):
-            return pd.DataFrame({"rep": [], "n": [], "other": []})
-        qx, qid = stack(a["x"]), a["rep"].to_numpy()
+            return nothing
+        qx, qid, qm, qh = stack(a["x"]), a["rep"].to_numpy(), a["mult"].to_numpy(), a["home"].to_numpy()
         dx, did, dm = stack(b["x"]), b["rep"].to_numpy(), b["mult"].to_numpy()
         codes = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
         far = ((reach + b["err"].to_numpy() + 1e-4) ** 2).astype(np.float32)
-        links = np.zeros(len(a), np.int64)
+        seeks = [set(p) for p in b["probes"]]
+        forth, back = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         top: dict[int, int] = {}
 
         def root(v: int) -> int:
@@ -207,18 +191,23 @@ def _links(ok: DataFrame, least: float, key: str) -> DataFrame:
         for lo in range(0, len(a), STEP):
             i, j = np.nonzero(ix.asymmetric(qx[lo : lo + STEP], int(key_[0]), codes) <= far[None, :])
             i += lo
-            other = qid[i] != did[j]
-            i, j = i[other], j[other]
+            ok = qid[i] != did[j]
+            i, j = i[ok], j[ok]
             for s in range(0, len(i), 200_000):
                 a_, b_ = i[s : s + 200_000], j[s : s + 200_000]
                 near = np.einsum("ij,ij->i", qx[a_], dx[b_]) >= least
                 a_, b_ = a_[near], b_[near]
-                np.add.at(links, a_, dm[b_])
-                for p, r in zip(qid[a_].tolist(), did[b_].tolist(), strict=True):
+                np.add.at(forth, a_, dm[b_])
+                homes = {int(h) for h in qh[a_]}
+                blind = {h: np.array([h not in p for p in seeks]) for h in homes}
+                one_way = np.array([blind[int(h)][y] for h, y in zip(qh[a_], b_, strict=True)], bool) if len(a_) else np.zeros(0, bool)
+                np.add.at(back, b_[one_way], qm[a_[one_way]])
+                # a row's first link to each root says enough
+                for p, r in set(zip(qid[a_].tolist(), did[b_].tolist(), strict=True)):
                     if (u := root(p)) != (w := root(r)):
                         top[max(u, w)] = min(u, w)
                         edges.append((p, r))
-        counts = [(int(k), int(v), None) for k, v in zip(qid, links, strict=True) if v]
+        counts = [(int(k), int(v), None) for k, v in zip(qid, forth, strict=True) if v] + [(int(k), int(v), None) for k, v in zip(did, back, strict=True) if v]
         return pd.DataFrame(counts + [(p, 0, r) for p, r in edges], columns=["rep", "n", "other"]).astype({"other": "Int64"})
 
     found = materialize(ask.groupBy("list", "d", "q").cogroup(db.groupBy("list", "d", "q")).applyInPandas(seek, "rep long, n long, other long"))
