@@ -231,10 +231,11 @@ def f10(s, d):
     return t(s, d, "orders").where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).orderBy("o_totalprice").limit(25).agg(F.max("o_totalprice").alias("kth"))
 
 
-@q("f12_dense_row_id", "SELECT count(*) AS rows, CAST(count(*) - 1 AS BIGINT) AS last FROM lineitem")
+@q("f12_dense_row_id", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS rowid FROM lineitem")
 def f12(s, d):
-    x = items(s, d).select(F.col("_metadata.row_index").alias("r"))
-    return x.agg(F.countDistinct("r").alias("rows"), F.max("r").alias("last"))
+    from siltstone.sources.files import number_rows
+
+    return number_rows(t(s, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], "rowid")
 
 
 @q("f13_rowid_resumes", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 99 AS rowid FROM orders")
