@@ -99,7 +99,7 @@ def local_matches(ids: np.ndarray, words: list[np.ndarray]) -> pd.DataFrame:
     s, d, p = seed[first], doc[first], pos[first]
     part = (s >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]).tolist()
-    rows = [(int(part[i]), _pack_seeds(s[i:j]), _pack(d[i:j]), _pack(p[i:j]), None) for i, j in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+    rows = [(int(part[i]), _pack_seeds(s[i:j]), _pack(d[i:j]), _pack(p[i:j]), None) for i, j in zip(cuts, [*cuts[1:], len(part)][: len(cuts)], strict=True)]
     for i in range(0, len(a), 20_000):
         x, y = a[i : i + 20_000], b[i : i + 20_000]
         rows.append((-1 - int(seed[x[0]] % np.uint64(1 << RANGE_BITS)), _pack(doc[y]), _pack(doc[x]), _pack(pos[x]), _pack(pos[y])))
@@ -113,7 +113,9 @@ def matches_of(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts, ids = list(b["text"]), b["doc_id"].to_numpy()
             for at in range(0, len(texts), 2000):
-                yield local_matches(ids[at : at + 2000], word_hashes(texts[at : at + 2000]))
+                found = local_matches(ids[at : at + 2000], word_hashes(texts[at : at + 2000]))
+                if len(found):
+                    yield found
 
     def across(batches):
         at, held = None, []

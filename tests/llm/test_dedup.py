@@ -187,6 +187,10 @@ def test_passages_of_lines_with_other_owners(spark, lines, n):
     assert all(d in got and got[d].n_words == lines * n and d - 1 in got[d].source_doc_ids for d in want)
 
 
+def test_passages_of_short_texts_alone(spark):
+    assert substring_dedup.passages(frame(spark, rows(["one two", "one two", "", "three four five six"]))).count() == 0
+
+
 def test_passages_need_one_source(spark):
     """Less than min_words of each of four documents make no passage, though they follow each other."""
     rng = random.Random(21)
