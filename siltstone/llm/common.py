@@ -21,7 +21,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters handled at once of one text, so that a very long text needs bounded memory.
 PIECE_CHARS = 1 << 18
 #: Bytes of an Arrow batch: several Python workers share an executor's memory beside its heap.
-BATCH_BYTES = str(16 << 20)
+BATCH_BYTES = str(4 << 20)
 #: Entries of a per-worker cache before it is emptied.
 CACHE_ENTRIES = 300_000
 #: Bytes of one generation of a worker's memory of words.
@@ -42,10 +42,18 @@ def trim() -> None:
         give_back(0)
 
 
+def give_back_early() -> None:
+    """Lets the C allocator of a worker map arrays of a megabyte or more on their own, so that they go back to the system once they are freed."""
+    if option := getattr(ctypes.CDLL(None), "mallopt", None):
+        option(-3, 1 << 20)  # M_MMAP_THRESHOLD; a fixed one, which it no longer raises by itself
+        option(-1, 4 << 20)  # M_TRIM_THRESHOLD
+
+
 def trimmed(run):
-    """A function of batches, for mapInPandas, that trims its worker when its task is done."""
+    """A function of batches, for mapInPandas, that keeps its worker's freed memory small and trims it when its task is done."""
 
     def outer(batches):
+        give_back_early()
         yield from run(batches)
         trim()
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import materialize, one_row_each, table, trimmed
+from siltstone.llm.common import materialize, one_row_each, table, trim, trimmed
 from siltstone.llm.shingles import shingles, word_hashes
 from siltstone.session import tidy
 
@@ -52,12 +52,6 @@ REACH = 200
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the k-mers of a text."""
-    s = shingles(words, K) if len(words) >= K else np.zeros(0, np.uint64)
-    return np.arange(len(s)), s
-
-
 def linked(seed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of occurrences in the order of (seed, doc, pos): the first of each seed, and which is matched with which earlier one."""
     new = np.append(True, seed[1:] != seed[:-1])[: len(seed)]
@@ -89,12 +83,18 @@ def _unpack_seeds(b: bytes) -> np.ndarray:
 
 def local_matches(ids: np.ndarray, words: list[np.ndarray]) -> pd.DataFrame:
     """The earliest occurrence of each seed of a batch (a row for each range of seeds), and matches within it (ranges below 0)."""
-    got = [seeds_of(w) for w in words]
-    pos = np.concatenate([g[0] for g in got] or [np.zeros(0, np.int64)]).astype(np.int32)
-    seed = np.concatenate([g[1] for g in got] or [np.zeros(0, np.uint64)])
-    doc = np.repeat(ids, [len(g[0]) for g in got]).astype(np.int64)
-    order = np.lexsort((pos, doc, seed))
-    seed, doc, pos = seed[order], doc[order], pos[order]
+    # documents in the order of their ids, so that a stable sort by the seed alone orders by (seed, doc, pos)
+    rank = np.argsort(ids, kind="stable")
+    ids = ids[rank].astype(np.int64)
+    got = [shingles(words[i], K) if len(words[i]) >= K else np.zeros(0, np.uint64) for i in rank.tolist()]
+    sizes = [len(g) for g in got]
+    seed = np.concatenate(got or [np.zeros(0, np.uint64)])
+    del got
+    order = np.argsort(seed, kind="stable").astype(np.int32)
+    seed = seed[order]
+    pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)])[order]
+    doc = ids[np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]]
+    del order
     first, a, b = linked(seed, doc)
     s, d, p = seed[first], doc[first], pos[first]
     part = (s >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
@@ -116,6 +116,7 @@ def matches_of(docs: DataFrame) -> DataFrame:
                 found = local_matches(ids[at : at + 2000], word_hashes(texts[at : at + 2000]))
                 if len(found):
                     yield found
+                trim()
 
     def across(batches):
         at, held = None, []
