@@ -35,7 +35,9 @@ def nearest_rank(x: str, share: float) -> Column:
 
 
 def geometric_mean(x: str) -> Column:
-    return F.exp(F.avg(F.log(x)))
+    """0 where a value is 0, NaN where one is below 0; NULLs are skipped. Spark's own logarithm is NULL from 0 down, and a mean would skip those values."""
+    v = F.col(x)
+    return F.exp(F.avg(F.when(v > 0, F.log(v)).when(v == 0, float("-inf")).when(v < 0, float("nan"))))
 
 
 def weighted_mean(x: str, weight: str) -> Column:
