@@ -34,6 +34,11 @@ def composite_key(attr: Column, value: Column) -> Column:
     return F.concat(F.rpad(attr, 4, " "), value)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles by IEEE 754: infinite or NaN where b is 0, where Spark's own division raises."""
+    return F.when(b != 0, F.try_divide(a, b)).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
 def token(text: Column, sep: str, i: int) -> Column:
     return F.split_part(text, F.lit(sep), F.lit(i + 1))
 

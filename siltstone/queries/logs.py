@@ -98,7 +98,6 @@ sql("e8_group_without_aggregate", "SELECT p_brand, p_type FROM part GROUP BY p_b
 sql("e9_repeated_group_term", "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type, p_brand")
 sql("e10_median", "SELECT event_type, median(value) AS m FROM events GROUP BY event_type")
 sql("e12_mean_skips_null", f"SELECT {davg_sql('x')} AS m, count(x) AS n FROM (SELECT CASE WHEN l_linenumber > 2 THEN l_quantity END AS x FROM lineitem) v")
-sql("e15_spread", "SELECT max(hi / lo) AS spread FROM (SELECT event_type, max(value) AS hi, min(value) AS lo FROM events GROUP BY event_type) v")
 sql("e18_distinct", "SELECT count(DISTINCT l_quantity) AS q, count(DISTINCT l_returnflag) AS r FROM lineitem")
 
 
@@ -127,6 +126,12 @@ def e14(s, d):
     return log(s, d).groupBy("method").agg(F.round(F.try_divide(dsum(F.col("value") * F.col("puts")), F.sum("puts")), 6).alias("wm"))
 
 
+@q("e15_spread", "SELECT max(hi / lo) AS spread FROM (SELECT event_type, max(value) AS hi, min(value) AS lo FROM events GROUP BY event_type) v")
+def e15(s, d):
+    v = t(s, d, "events").groupBy("event_type").agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
+    return v.agg(F.max(scalars.quotient(F.col("hi"), F.col("lo"))).alias("spread"))
+
+
 @q("e17_conditional_count", f"WITH {LOG_SQL} SELECT method, count(*) FILTER (WHERE value > 100) AS slow, count(*) AS n FROM log GROUP BY method")
 def e17(s, d):
     return log(s, d).groupBy("method").agg(F.count_if(F.col("value") > 100).alias("slow"), F.count(F.lit(1)).alias("n"))
