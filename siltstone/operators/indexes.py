@@ -38,9 +38,14 @@ def pk_lists(df: DataFrame, pk: list[str], roles: dict[str, str]) -> DataFrame:
 
 
 def merge_pk_lists(*lists: DataFrame) -> DataFrame:
-    """Folds lists and their deltas; union is associative, so parts may be folded in any order."""
-    all_ = reduce(DataFrame.unionByName, lists)
-    return all_.groupBy("attr", "text", "number", "part").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pks")))).alias("pks"))
+    """Folds lists and their deltas; union is associative, so parts may be folded in any order.
+
+    The lists are dealt whole, then their keys are told apart by hash in the same stage: array_distinct compares
+    structs with each other, which takes the square of a list's length.
+    """
+    by = ["attr", "text", "number", "part"]
+    keys = reduce(DataFrame.unionByName, lists).repartition(*by).select(*by, F.explode("pks").alias("_k")).distinct()
+    return keys.groupBy(*by).agg(F.sort_array(F.collect_list("_k")).alias("pks"))
 
 
 def with_place(df: DataFrame) -> DataFrame:

@@ -184,3 +184,20 @@ def test_normalized_queries_reach_the_scan(spark, sf):
     assert "GreaterThanOrEqual(l_quantity,3.0)" in f["pushed"][0] and "LessThan(l_quantity,9.0)" in f["pushed"][0] and "l_orderkey" not in f["schema"][0]
 
 
+
+
+def test_pk_lists_fold_without_comparing_all_keys(spark, monkeypatch):
+    monkeypatch.setattr(indexes, "LIST_PARTS", 3)
+    rows = [(k, n, "x" if k % 3 else None, float(k % 2)) for k in range(300) for n in (1, 2)]
+    df = spark.createDataFrame(rows, "k long, n int, a string, b double")
+    one = lambda w: indexes.pk_lists(df.where(w), ["k", "n"], {"a": "equality", "b": "range"})
+    merged = indexes.merge_pk_lists(one("k < 200"), one("k >= 100"), one("k = 150"))
+    lists = {}
+    for r in merged.collect():
+        assert [tuple(x) for x in r.pks] == sorted({tuple(x) for x in r.pks})
+        lists.setdefault((r.attr, r.text, r.number), []).extend(tuple(x) for x in r.pks)
+    want = {("a", "x", None): [r[:2] for r in rows if r[2]]} | {("b", None, v): [r[:2] for r in rows if r[3] == v] for v in (0.0, 1.0)}
+    assert {k: sorted(v) for k, v in lists.items()} == want
+    assert sorted(merged.collect(), key=repr) == sorted(one("true").select(*merged.columns).collect(), key=repr)
+    # array_distinct, array_union and the like take the square of a list of structs
+    assert "array_" not in merged._jdf.queryExecution().optimizedPlan().toString().replace("sort_array", "")
