@@ -67,16 +67,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _scratch: list[list[str]] = []
+#: Whether Spark deletes a query's shuffle files when the query ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, outlives: bool = False) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it again. Lost executors cost nothing of it.
 
     The files go when the session ends, or with the `scratch` block that they were written in, unless they outlive it.
+    The write's own shuffle files go when it ends, since nothing else reads them; a collection on the driver comes at some time or other.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     atexit.register(_remove, spark, path)
     if _scratch and not outlives:
         _scratch[-1].append(path)
